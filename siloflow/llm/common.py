@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the word separator of the corpus contracts.
 SPACE = r"[\x20\x09-\x0D]+"
+BLANK_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side is broadcast only when its estimated bytes stay below this.
 BROADCAST_BYTES = 32 << 20
