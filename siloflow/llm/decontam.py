@@ -117,9 +117,9 @@ def search(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, k: i
 def clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The documents that hold no test item; all columns stay."""
     dirty = cut(search(docs, bench, **options).select(*DOC).distinct())
-    named = docs.withColumns(dict(zip(DOC[1:], (c for c in text_key(F.col("text"))), strict=True)))
+    named = docs.select(F.struct(*docs.columns).alias("_all"), "doc_id", *text_key(F.col("text")))
     wanted = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in DOC]
-    return named.alias("d").join(small(dirty, dirty.count(), 64).alias("c"), wanted, "left_anti").select(*docs.columns)
+    return named.alias("d").join(small(dirty, dirty.count(), 64).alias("c"), wanted, "left_anti").select("_all.*")
 
 
 def op2(docs: DataFrame, bench: DataFrame) -> DataFrame:
