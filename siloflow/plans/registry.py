@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from siloflow.plans import sites, text
+
+QUERIES = text.QUERIES | sites.QUERIES
+ORACLE: dict[str, str] = text.ORACLE | sites.ORACLE
