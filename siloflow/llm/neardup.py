@@ -7,8 +7,8 @@ branch on; members that agree go to the same child. Two sets of similarity s sta
 chance s for each step, so a pair at the threshold meets in some tree with a chance that ``recall``
 states and that the number of trees is chosen by. Branching goes on until a node is small; small
 nodes are compared exhaustively. A node that does not shrink (a large group of alike texts) is
-contracted: its members are compared with their least member, the confirmed ones are one component from then on,
-and the others go on branching, against everyone.
+contracted: its members are compared with their least member, the confirmed ones bear its label from then on,
+and the others go on branching, against everyone of another label.
 
 Each candidate pair is confirmed on the full sets of the two texts. Components are then found by
 alternating star contractions, all of it in tables.
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log
+from math import ceil, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siloflow.llm.common import cut, small
 
-HASHES = 96
+HASHES = 192
 #: Similarity that unrelated texts stay below; the first look at a node comes after so many values that these rarely meet.
 BACKGROUND = 0.1
 LEAST_DEPTH = 4
@@ -43,8 +43,6 @@ STEP = 3
 LEVELS = 8
 SMALL_NODE = 24
 MISS = 1e-6
-#: Of 64 one-bit MinHash values, pairs that differ in more are not confirmed; at similarity 0.8, 6.4 are expected to.
-SKETCH_BITS = 24
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 22
 
@@ -61,6 +59,12 @@ class Spec:
     def threshold(self) -> float:
         return self.den / self.num
 
+    @property
+    def most_differences(self) -> int:
+        """Of HASHES one-bit MinHash values, so many differ at most for a pair at the threshold, but for a chance of about 1e-7."""
+        p = (1 - self.threshold) / 2
+        return ceil(HASHES * p + 5.3 * sqrt(HASHES * p * (1 - p)))
+
 
 # ---- sets of hashed shingles, vectorised over a batch of texts
 
@@ -118,25 +122,33 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-_SEEDS = np.random.default_rng(7).integers(1, 2**63, HASHES + 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(7).integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SALTS = np.random.default_rng(8).integers(0, 2**32, HASHES, dtype=np.uint32)
+SKETCH = tuple(f"k{i}" for i in range(HASHES // 64))
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """HASHES MinHash values of 32 bits."""
+    least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    block = 512  # so that the products stay in the processor's cache
+    for at in range(0, len(short), block):
+        part = (short[None, at : at + block] ^ _SALTS[:, None]) * _SEEDS[:, None]
+        np.minimum(least, part.min(axis=1), out=least)
+    return least
 
 
-def signature(hashes: np.ndarray) -> tuple[bytes, int]:
-    """HASHES MinHash values of 32 bits as bytes, and a long of 64 one-bit MinHash values under other functions."""
-    least = np.full(len(_SEEDS), 0xFFFFFFFF, dtype=np.uint64)
-    block = 1 << 12
-    for at in range(0, len(hashes), block):
-        part = (hashes[None, at : at + block] * _SEEDS[:, None]) >> np.uint64(32)
-        least = np.minimum(least, part.min(axis=1))
-    bits = (_mix(least[HASHES:]) & np.uint64(1)) << np.arange(64, dtype=np.uint64)
-    return least[:HASHES].astype(np.uint32).tobytes(), int(np.bitwise_or.reduce(bits).view(np.int64))
+def sketch(sig: np.ndarray) -> list[int]:
+    """One bit of each MinHash value, in longs."""
+    bits = (_mix(sig.astype(np.uint64)) & np.uint64(1)).reshape(-1, 64) << np.arange(64, dtype=np.uint64)
+    return [int(x) for x in np.bitwise_or.reduce(bits, axis=1).view(np.int64)]
 
 
-SET_SCHEMA = "n_shingles long, set_key binary, sketch long, sig binary"
+SET_SCHEMA = "n_shingles long, set_key binary, sig binary, " + ", ".join(f"{k} long" for k in SKETCH)
 
 
 def with_sets(docs: DataFrame, k: int) -> DataFrame:
-    """Replace ``text`` by n_shingles, a 128-bit fingerprint of the set, its 64-bit sketch and its MinHash values; null for empty sets."""
+    """Replace ``text`` by n_shingles, a 128-bit fingerprint of the set, its MinHash values and their bits; null for empty sets."""
 
     @F.pandas_udf(SET_SCHEMA)
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -146,11 +158,11 @@ def with_sets(docs: DataFrame, k: int) -> DataFrame:
                 h = shingle_set(text, k)
                 if len(h):
                     key = np.array([_mix(h).sum(dtype=np.uint64), _mix(h ^ _ODD).sum(dtype=np.uint64) + np.uint64(len(h))])
-                    sig, sketch = signature(h)
-                    rows.append((len(h), key.tobytes(), sketch, sig))
+                    sig = signature(h)
+                    rows.append((len(h), key.tobytes(), sig.tobytes(), *sketch(sig)))
                 else:
-                    rows.append((0, None, 0, None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "sketch", "sig"])
+                    rows.append((0, None, None, *(0 for _ in SKETCH)))
+            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "sig", *SKETCH])
 
     return docs.withColumn("_s", described("text")).select(*(c for c in docs.columns if c != "text"), "_s.*")
 
@@ -216,8 +228,6 @@ def _confirmed(num: int, den: int):
         out = np.zeros(len(a), dtype=bool)
         for i, (x, y) in enumerate(zip(a, b, strict=True)):
             p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if num * min(len(p), len(q)) < den * max(len(p), len(q)):
-                continue
             both = len(p) + len(q) - len(np.union1d(p, q))
             out[i] = num * both >= den * (len(p) + len(q) - both)
         return pd.Series(out)
@@ -226,42 +236,45 @@ def _confirmed(num: int, den: int):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets (key, items) are similar enough."""
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("_p")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("items").alias("_q")), "b")
+    """Those of the distinct pairs (a, b) whose full sets (cid, items) are similar enough."""
+    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("_p")), "a")
+    both = left.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("_q")), "b")
     return both.where(_confirmed(spec.num, spec.den)("_p", "_q")).select("a", "b")
 
 
-def _close(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= SKETCH_BITS
+def _close(spec: Spec, a: str, b: str):
+    """Whether sizes and bits leave the pair a chance; a and b are the prefixes of either side's columns."""
+    differ = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in SKETCH), F.lit(0))
+    p, q = F.col(f"{a}n"), F.col(f"{b}n")
+    return (spec.num * F.least(p, q) >= spec.den * F.greatest(p, q)) & (differ <= spec.most_differences)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs with the lesser key first."""
+    """Distinct pairs with the lesser first."""
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, root) of every key in links (a, b): the least key that can be reached, by alternating large and small stars."""
-    edges = cut(_ordered(links))
+    """(cid, root) of everything in links (a, b), distinct: the least that can be reached, by alternating large and small stars."""
+    edges = cut(links)
     before = None
     while True:
-        # large star: a key's larger neighbours are tied to its least neighbour
+        # large star: the larger neighbours of a node are tied to its least neighbour
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         edges = cut(_ordered(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))))
-        # small star: a key and its smaller neighbours are tied to the least of them
+        # small star: a node and its smaller neighbours are tied to the least of them
         least = cut(edges.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")))
         tied = edges.join(least, edges["b"] == least["u"]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b2")).withColumnRenamed("b2", "b")
         edges = cut(_ordered(tied))
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
         if now == before:
-            return edges.select(F.col("b").alias("key"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("key"), F.col("a").alias("root")).distinct())
+            return edges.select(F.col("b").alias("cid"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("cid"), F.col("a").alias("root")).distinct())
         before = now
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, items): the full sets, sorted, of the classes whose representative is named in wanted (key, doc_id, _t1)."""
+    """(cid, items): the full sets, sorted, of the classes whose representative is named in wanted (cid, doc_id, _t1)."""
 
     @F.pandas_udf("binary")
     def items(texts: pd.Series) -> pd.Series:
@@ -270,62 +283,54 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     n = wanted.count()
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("_t1")).alias("d")
     found = named.join(small(wanted, n, 64).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._t1") == F.col("w._t1")))
-    return cut(found.select("w.key", "d.text").dropDuplicates(["key"]).select("key", items("text").alias("items")))
+    return cut(found.select("w.cid", "d.text").dropDuplicates(["cid"]).select("cid", items("text").alias("items")))
 
 
 def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """Enough confirmed links (a, b) between classes (key, sketch, sig, doc_id, _t1) to connect each component."""
-    n = classes.count()
-    depth = first_depth(n)
+    """Enough confirmed links (a, b) between classes to connect each component.
+
+    ``classes`` has cid, n, sig, the bits, doc_id and _t1. A member of a node carries a label: members of
+    one label are known to be connected, so pairs within it, and nodes of one label, need no look.
+    """
+    n_classes = classes.count()
+    depth = first_depth(n_classes)
     start = roots(trees_for(spec.threshold, depth), depth)
-    members = cut(classes.select("key", "sketch", F.explode(start("sig")).alias("node")))
-    links, comp, sets = None, None, None
+    facts = lambda p: small(classes, n_classes, 64).select(F.col("cid").alias(p), F.col("n_shingles").alias(f"{p}n"), *(F.col(k).alias(f"{p}{k}") for k in SKETCH))
+    members = cut(classes.select("cid", F.explode(start("sig")).alias("node"))).withColumn("lab", F.col("cid"))
+    links, sets = None, None
     for level in range(LEVELS + 1):
-        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("key", "sketch")).alias("head")).where("n > 1")
-        sizes = cut(sizes.select("node", "n", F.col("head.key").alias("head"), F.col("head.sketch").alias("head_sketch")))
-        members = cut(members.join(sizes, "node"))
+        head = F.min(F.struct("cid", "lab")).alias("h")
+        nodes = members.groupBy("node").agg(F.count("*").alias("n"), head, F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1")
+        nodes = cut(nodes.select("node", "n", F.col("h.cid").alias("head"), F.col("h.lab").alias("hlab")))
+        members = cut(members.join(nodes, "node"))
         if members.isEmpty():
             break
         if sets is None:
-            sets = _sets_of(docs, cut(classes.join(members.select("key").distinct(), "key").select("key", "doc_id", "_t1")), spec.k)
+            sets = _sets_of(docs, cut(classes.join(members.select("cid").distinct(), "cid").select("cid", "doc_id", "_t1")), spec.k)
         # every member against its node's least member
-        stars = members.where(_close("sketch", "head_sketch")).select(F.col("key").alias("a"), F.col("head").alias("b"))
-        links, comp = _grow(links, comp, stars, sets, spec)
-        # what is still apart in a node: exhaustively if few are outside the largest component, else by branching on
-        split = _with_root(members, comp)
-        per = cut(split.groupBy("node", "root").agg(F.count("*").alias("m")))
-        state = per.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).select("node", "n", F.col("top.root").alias("top"), (F.col("n") - F.col("top.m")).alias("rest"))
-        state = cut(state.where("rest > 0"))
-        split = cut(split.drop("n", "head", "head_sketch").join(state, "node"))
-        now = split.where((F.col("rest") <= SMALL_NODE) | F.lit(level == LEVELS))
-        out = now.where(F.col("root") != F.col("top")).select("node", F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("root").alias("ra"))
-        all_of = now.select("node", F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("root").alias("rb"))
-        across = out.join(all_of, "node").where((F.col("ra") != F.col("rb")) & _close("sa", "sb")).select("a", "b")
-        links, comp = _grow(links, comp, across, sets, spec)
-        if level < LEVELS:
-            large = split.where(F.col("rest") > SMALL_NODE).select("key", "sketch", "node")
-            members = cut(large.join(classes.select("key", "sig"), "key").select("key", "sketch", F.explode(children()("node", "sig")).alias("node")))
-    return links if links is not None else docs.sparkSession.createDataFrame([], "a binary, b binary")
-
-
-def _with_root(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return members.withColumn("root", F.col("key"))
-    return members.join(comp, "key", "left").withColumn("root", F.coalesce("root", "key"))
-
-
-def _grow(links: DataFrame | None, comp: DataFrame | None, pairs: DataFrame, sets: DataFrame, spec: Spec) -> tuple[DataFrame | None, DataFrame | None]:
-    """Confirm the pairs that are not yet connected; returns all links and (key, root)."""
-    pairs = _ordered(pairs)
-    if comp is not None:
-        roots_of = lambda c: comp.select(F.col("key").alias(c), F.col("root").alias(f"r{c}"))
-        pairs = pairs.join(roots_of("a"), "a", "left").join(roots_of("b"), "b", "left")
-        pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    found = cut(confirm(cut(pairs), sets, spec))
-    if found.isEmpty():
-        return links, comp
-    links = found if links is None else links.unionByName(found)
-    return links, cut(components(links))
+        stars = _ordered(members.where("lab <> hlab").select(F.col("cid").alias("a"), F.col("head").alias("b")))
+        stars = stars.join(facts("a"), "a").join(facts("b"), "b").where(_close(spec, "a", "b")).select("a", "b")
+        found = cut(confirm(cut(stars), sets, spec))
+        links = found if links is None else links.unionByName(found)
+        tied = found.select(F.col("a").alias("head"), F.col("b").alias("cid"), F.lit(True).alias("tied"))
+        members = members.join(tied, ["head", "cid"], "left").withColumn("lab", F.when(F.col("tied"), F.col("hlab")).otherwise(F.col("lab")))
+        members = cut(members.select("node", "cid", "lab", "hlab", "n"))
+        # nodes that are not of one label now: compared exhaustively if few are outside the head's label, else branched on
+        apart = members.where("lab <> hlab").groupBy("node").agg(F.count("*").alias("rest"))
+        members = cut(members.join(cut(apart), "node"))
+        last = level == LEVELS
+        now = members if last else members.where(F.col("rest") <= SMALL_NODE)
+        one = now.where("lab <> hlab").select("node", F.col("cid").alias("a"), F.col("lab").alias("la")).join(facts("a"), "a")
+        two = now.select("node", F.col("cid").alias("b"), F.col("lab").alias("lb")).join(facts("b"), "b")
+        across = one.join(two, "node").where((F.col("la") != F.col("lb")) & _close(spec, "a", "b")).select("a", "b")
+        links = links.unionByName(cut(confirm(cut(_ordered(across)), sets, spec)))
+        if last:
+            break
+        large = members.where(F.col("rest") > SMALL_NODE).select("cid", "node", "lab")
+        members = cut(large.join(classes.select("cid", "sig"), "cid").select("cid", F.explode(children()("node", "sig")).alias("node"), "lab"))
+    if links is None:
+        return classes.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    return cut(links.distinct())
 
 
 # ---- results
@@ -338,10 +343,12 @@ def with_components(docs: DataFrame, spec: Spec) -> DataFrame:
     """
     told = cut(with_sets(docs.select("doc_id", F.xxhash64("text").alias("_t1"), "text"), spec.k))
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t1")).alias("r")
-    classes = told.where(F.col("set_key").isNotNull()).groupBy(F.col("set_key").alias("key")).agg(lead, F.first("sketch").alias("sketch"), F.first("sig").alias("sig"))
-    classes = cut(classes.select("key", "sketch", "sig", "r.doc_id", "r._t1", "r"))
+    every = told.where(F.col("set_key").isNotNull()).groupBy(F.col("set_key").alias("key"))
+    classes = every.agg(lead, *(F.first(c).alias(c) for c in ("n_shingles", "sig", *SKETCH)))
+    # a number for each class, fixed by writing it
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "n_shingles", "sig", *SKETCH, "r.doc_id", "r._t1", "r"))
     comp = cut(components(join_classes(classes, docs, spec)))
-    rooted = cut(classes.join(comp, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "r"))
+    rooted = cut(classes.join(comp, "cid", "left").select("key", F.coalesce("root", "cid").alias("root"), "r"))
     least = cut(rooted.groupBy("root").agg(F.min("r").alias("c")))
     answer = cut(rooted.join(least, "root").select("key", F.col("c.doc_id").alias("component_id"), F.col("c._t1").alias("_c1")))
     out = told.join(answer, told["set_key"] == answer["key"], "left")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siloflow.llm import decontam, htmltext, langid, licenses, mixing, neardup, quality, secretscan
+from siloflow.llm import compaction, decontam, htmltext, langid, licenses, mixing, neardup, pii, quality, secretscan
 from siloflow.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.op3(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.op4(read(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op5(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op6(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -48,7 +56,9 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_secret_scan": op3_secret_scan,
+    "op4_sharding": op4_sharding,
     "op5_license_scan": op5_license_scan,
+    "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_main_text": op9_main_text,
