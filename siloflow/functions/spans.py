@@ -38,10 +38,11 @@ def free_of(spans: Column, taken: Column) -> Column:
 
 def resolve(ranked: list[tuple[int, Column]]) -> Column:
     """Greedy resolution: lower priority number first, then the longer, then the earlier, then the order given; sorted by place."""
-    keyed = [
-        F.transform(spans, lambda s, i, p=p, k=k: F.struct(F.lit(p).alias("p"), (s["start"] - s["end"]).alias("len"), s["start"].alias("at"), F.lit(k).alias("k"), i.alias("i"), s.alias("s")))
-        for k, (p, spans) in enumerate(ranked)
-    ]
+
+    def keyed_by(k: int, p: int, spans: Column) -> Column:
+        return F.transform(spans, lambda s, i: F.struct(F.lit(p).alias("p"), (s["start"] - s["end"]).alias("len"), s["start"].alias("at"), F.lit(k).alias("k"), i.alias("i"), s.alias("s")))
+
+    keyed = [keyed_by(k, p, spans) for k, (p, spans) in enumerate(ranked)]
     every = F.array_sort(F.concat(*keyed)) if len(keyed) > 1 else F.array_sort(keyed[0])
     kept = F.aggregate(every, none(), lambda acc, x: F.when(F.exists(acc, lambda t: overlap(x["s"], t)), acc).otherwise(F.concat(acc, F.array(x["s"]))))
     return F.array_sort(kept)

@@ -123,10 +123,13 @@ def _inverted(note: Column, spans: Column, seed: int) -> Column:
 
 def _cues(note: Column, spans: Column, seed: int) -> Column:
     """Earlier rules go first; no rewrite touches a span or another rewrite."""
+
+    def rewrites(pattern: str, text: str) -> Column:
+        return F.transform(found(note, pattern), lambda m: _edit(m, F.lit(text)))
+
     out = F.array().cast(EDIT)
     for pattern, text in CUES:
-        here = F.transform(found(note, pattern), lambda m, text=text: _edit(m, F.lit(text)))
-        out = F.aggregate(here, out, lambda acc, e: F.when(F.exists(acc, lambda x: S.overlap(x, e)) | F.exists(spans, lambda x: S.overlap(x, e)), acc).otherwise(F.concat(acc, F.array(e))))
+        out = F.aggregate(rewrites(pattern, text), out, lambda acc, e: F.when(F.exists(acc, lambda x: S.overlap(x, e)) | F.exists(spans, lambda x: S.overlap(x, e)), acc).otherwise(F.concat(acc, F.array(e))))
     return out
 
 
