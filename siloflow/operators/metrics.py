@@ -108,6 +108,13 @@ def entity_confusion(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     return scored.withColumn("label", F.when(F.col("_all") == 1, None).otherwise(F.col("label"))).drop("_all")
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys that may be null; the keys come once."""
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    rest = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *rest)
+
+
 def _counted(rows: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     """(by, p, tp, fp, ctp, cfp, pos, neg): counts at each score and at or above it."""
     at = rows.groupBy(*by, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("double")).alias("tp"), F.sum(1.0 - F.col(y).cast("double")).alias("fp"))
@@ -118,8 +125,7 @@ def _counted(rows: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     every = Window.partitionBy(*by)
     totals = totals.select(*by, "_b", zero(F.sum("_tp").over(top)).alias("_atp"), zero(F.sum("_fp").over(top)).alias("_afp"), F.sum("_tp").over(every).alias("pos"), F.sum("_fp").over(every).alias("neg"))
     inside = Window.partitionBy(*by, "_b").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    same = [at[c].eqNullSafe(totals[c]) for c in [*by, "_b"]]
-    joined = at.join(totals, same).select(*(at[c] for c in by), at["_b"], "_p", "tp", "fp", "_atp", "_afp", "pos", "neg")
+    joined = _join_null_safe(at, totals, [*by, "_b"])
     return joined.withColumns({"ctp": F.col("_atp") + F.sum("tp").over(inside), "cfp": F.col("_afp") + F.sum("fp").over(inside)})
 
 
@@ -154,7 +160,7 @@ def binary_metrics(rows: DataFrame, y: str, p: str, *by: str) -> DataFrame:
     by_ = list(by) or ["_one"]
     rows = rows if by else rows.withColumn("_one", F.lit(1))
     left, right = calibration(rows, y, p, *by_), ranking(rows, y, p, *by_)
-    out = left.join(right, [left[c].eqNullSafe(right[c]) for c in by_]).select(*(left[c] for c in by_), "n", "prevalence", "mean_predicted", "auc", "ap", "brier", "log_loss")
+    out = _join_null_safe(left, right, by_).select(*by_, "n", "prevalence", "mean_predicted", "auc", "ap", "brier", "log_loss")
     out = out.withColumn("composite", composite(F.col("auc"), F.col("ap"), F.col("brier")))
     return out if by else out.drop("_one")
 

@@ -89,7 +89,7 @@ def masked_sum_mod64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site totals masked pairwise by hash words; the masks cancel in the ring sum."""
     totals = site_rows(spark, sf_dir).groupBy("site").agg(F.sum("l_quantity").alias("v"))
     pairs = secagg.pair_signs(totals, "site")
-    ring = F.lit(secagg.TWO_64).cast("decimal(38,0)")
+    ring = F.lit(str(secagg.TWO_64)).cast("decimal(38,0)")
     mask = F.conv(F.substring(F.md5(F.concat("a", F.lit("|"), "b")), 1, 15), 16, 10).cast("decimal(38,0)")
     masks = pairs.withColumn("m", mask).groupBy("site").agg(F.sum(F.col("m") * F.col("sign")).cast("decimal(38,0)").alias("m"))
     masked = totals.join(masks, "site").withColumn("word", F.pmod((secagg.fixed_point(F.col("v")) + F.col("m")).cast("decimal(38,0)"), ring))
