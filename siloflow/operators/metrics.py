@@ -53,7 +53,7 @@ def normal_list(xs: Column) -> Column:
 
 def numeric_value(x: Column) -> Column:
     """A finite double, or null."""
-    v = F.try_cast(x, "double") if hasattr(F, "try_cast") else x.try_cast("double")
+    v = x.try_cast("double")
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
