@@ -18,7 +18,8 @@ IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 NUMBERS = r"[0-9]+"
 LETTER_HEX = r"[0-9a-f]{32,}"
 CLAUSE = r"[;|\n]"
-NEGATION = r"\b(?:no|not|without|never|kein|keine|nicht|sin|sans|pas)\b"
+NEGATION = "(?:^| )(?:no|not|without|never|kein|keine|nicht|sin|sans|pas)(?: |$)"
+MENTION = "(?:^| )(?:and|und|et|y) "
 
 Spans = list[tuple[str, str]]
 FLAGSHIP: Spans = [("EMAIL", MAIL), ("PHONE_NUMBER", PHONE)]
@@ -104,7 +105,7 @@ def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def negation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses that say 'and' (in four languages), and how many of them have a negation before it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.split(F.lower("text"), CLAUSE, -1)).alias("c"))
-    said = docs.withColumn("before", F.regexp_extract("c", r"^(.*?)\b(?:and|und|et|y)\b", 1)).where(F.col("c").rlike(r"\b(?:and|und|et|y)\b"))
+    said = docs.withColumn("before", F.regexp_extract("c", f"^(.*?){MENTION}", 1)).where(F.col("c").rlike(MENTION))
     return said.groupBy("lang").agg(F.count("*").alias("n_mentions"), F.count_if(F.col("before").rlike(NEGATION)).alias("n_negated"))
 
 
@@ -147,7 +148,7 @@ def date_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detected_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full detector over all documents: spans by language and label."""
     got = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text")
-    return got.select("lang", F.explode("pii_entities").alias("s")).groupBy("lang", F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
+    return got.select("lang", F.explode_outer("pii_entities").alias("s")).where("s is not null").groupBy("lang", F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
 
 
 def extracted_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,9 +223,9 @@ ORACLE = {
       SELECT doc_id, CAST(len(c) AS BIGINT) AS n_clauses, CAST(coalesce(list_max(list_transform(c, lambda x: length(x))), 0) AS BIGINT) AS longest
       FROM (SELECT doc_id, list_filter(string_split_regex(text, '[;|\n]'), lambda x: trim(x) <> '') AS c FROM documents) t""",
     "negation_scope": rf"""
-      SELECT lang, count(*) AS n_mentions, count(*) FILTER (regexp_matches(regexp_extract(c, '^(.*?)\b(?:and|und|et|y)\b', 1), '{NEGATION}')) AS n_negated
+      SELECT lang, count(*) AS n_mentions, count(*) FILTER (regexp_matches(regexp_extract(c, '^(.*?){MENTION}', 1), '{NEGATION}')) AS n_negated
       FROM (SELECT lang, unnest(string_split_regex(lower(text), '[;|\n]')) AS c FROM documents) t
-      WHERE regexp_matches(c, '\b(?:and|und|et|y)\b') GROUP BY lang""",
+      WHERE regexp_matches(c, '{MENTION}') GROUP BY lang""",
     "starter_fields": r"""
       WITH n AS (SELECT conv_id, turn, role || ': HR ' || CAST(60 + turn * 7 AS VARCHAR) || ' bpm, BP ' || CAST(110 + turn AS VARCHAR) || '/70. ' || 'Known heart failure. ' || text AS note FROM conversations)
       SELECT conv_id, turn, contains(lower(note), 'heart failure') AS heart_failure, contains(lower(note), 'hypertension') AS hypertension,
