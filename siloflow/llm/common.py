@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +27,47 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siloflow/{uuid.uuid4().hex}"
 
 
+#: Folders written by ``cut`` within the running ``tidy`` functions, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends, and a lost executor costs a reread only."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _read_by(df: DataFrame) -> str:
+    """The root paths of the files that a plan reads, joined."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = (leaves.apply(i) for i in range(leaves.size()))
+    return " ".join(x.relation().location().rootPaths().mkString(" ") for x in found if x.getClass().getSimpleName() == "LogicalRelation")
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Delete what the operator cut off on its way and its result does not read; the rest is left to an outer ``tidy``."""
+
+    @wraps(operator)
+    def tidied(*args, **kwargs) -> DataFrame:
+        _WRITTEN.append([])
+        try:
+            out = operator(*args, **kwargs)
+            needed = _read_by(out)
+        finally:
+            written = _WRITTEN.pop()
+        for path in written:
+            if path.rsplit("/", 1)[1] not in needed:
+                remove(out.sparkSession, path)
+            elif _WRITTEN:
+                _WRITTEN[-1].append(path)
+        return out
+
+    return tidied
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, which reaches any store that Spark reaches."""
     jvm = spark.sparkContext._jvm

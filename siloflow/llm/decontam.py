@@ -26,7 +26,7 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siloflow.llm.common import cut, lower_ascii, small, text_key, words
+from siloflow.llm.common import cut, lower_ascii, small, text_key, tidy, words
 
 K = 5
 THRESHOLD = 0.8
@@ -93,6 +93,7 @@ def _meet(docs: DataFrame, table: DataFrame, n_rows: int, ks: list[int], thresho
     return reduce(DataFrame.unionByName, met)
 
 
+@tidy
 def search(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, k: int = K, slots: int = SLOTS) -> DataFrame:
     """(doc_id, _t1, _t2, item_id, n_shared, n_shingles, containment) of every document and item at or above the threshold."""
     shingles = cut(item_shingles(bench, k))
@@ -114,6 +115,7 @@ def search(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, k: i
     return found.select(*DOC, "item_id", "n_shared", F.col("size").cast("long").alias("n_shingles"), "containment")
 
 
+@tidy
 def clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The documents that hold no test item; all columns stay."""
     dirty = cut(search(docs, bench, **options).select(*DOC).distinct())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siloflow.llm.common import BLANK_CHARS, cut, small
+from siloflow.llm.common import BLANK_CHARS, cut, small, tidy
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -103,6 +103,7 @@ def _line(rows: DataFrame, slices: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.unionByName(all_in).unionByName(exact)
 
 
+@tidy
 def plan(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """A row for each source and class: (_sid, _class, source_size, target, _whole, _cut, _ties), _cut null where no document is drawn.
 
@@ -131,6 +132,7 @@ def plan(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     return cut(every.join(lines.drop("_got"), ["_sid", "_class"], "left"))
 
 
+@tidy
 def draw(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """Append source_size, target and epochs (how often the row is in the mix) to rows with doc_id, source and size."""
     planned = plan(docs, seed, **options)

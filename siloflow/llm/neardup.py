@@ -31,20 +31,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siloflow.llm.common import cut, small
+from siloflow.llm.common import cut, small, tidy
 
 HASHES = 192
 #: Similarity that unrelated texts stay below; the first look at a node comes after so many values that these rarely meet.
 BACKGROUND = 0.1
 LEAST_DEPTH = 4
 #: Large nodes branch into CHILDREN paths of STEP more values each, for LEVELS times at most.
-CHILDREN = 3
-STEP = 3
-LEVELS = 8
-SMALL_NODE = 24
+CHILDREN = 6
+STEP = 6
+LEVELS = 4
+SMALL_NODE = 32
 MISS = 1e-6
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 22
+#: Counted tables of up to so many rows are kept in one partition while components are contracted.
+FEW_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -237,7 +239,8 @@ def _confirmed(num: int, den: int):
 
 def confirm(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets (cid, items) are similar enough."""
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("_p")), "a")
+    n = pairs.count()
+    left = sets.select(F.col("cid").alias("a"), F.col("items").alias("_p")).join(small(pairs, n, 16), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("_q")), "b")
     return both.where(_confirmed(spec.num, spec.den)("_p", "_q")).select("a", "b")
 
@@ -254,23 +257,61 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
+def _together(df: DataFrame, n: int) -> DataFrame:
+    """Counted few rows in one partition, where grouping and joining take no shuffle; more are left as they are."""
+    return df.coalesce(1) if n <= FEW_ROWS else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, root) of everything in links (a, b), distinct: the least that can be reached, by alternating large and small stars."""
-    edges = cut(links)
-    before = None
+    edges, before = cut(links), None
+    n = edges.count()
     while True:
         # large star: the larger neighbours of a node are tied to its least neighbour
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        held = _together(edges, n)
+        both = held.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(held.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = _together(both, n)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         edges = cut(_ordered(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))))
         # small star: a node and its smaller neighbours are tied to the least of them
-        least = cut(edges.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")))
-        tied = edges.join(least, edges["b"] == least["u"]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b2")).withColumnRenamed("b2", "b")
+        held = _together(edges, n)
+        least = held.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+        tied = held.join(least, held["b"] == least["u"]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b2")).withColumnRenamed("b2", "b")
         edges = cut(_ordered(tied))
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
         if now == before:
-            return edges.select(F.col("b").alias("cid"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("cid"), F.col("a").alias("root")).distinct())
-        before = now
+            tops = edges.select("a").distinct()
+            return edges.select(F.col("b").alias("cid"), F.col("a").alias("root")).unionByName(tops.select(F.col("a").alias("cid"), F.col("a").alias("root")))
+        before, n = now, now["n"]
+
+
+class Forest:
+    """Who is known to be connected: (cid, root), grown by confirmed links; only pairs of roots go through a contraction."""
+
+    def __init__(self) -> None:
+        self.roots: DataFrame | None = None
+        self.n = 0
+
+    def named(self, df: DataFrame, column: str, into: str) -> DataFrame:
+        """Add the root of a column; what is not connected is its own."""
+        if self.roots is None:
+            return df.withColumn(into, F.col(column))
+        known = small(self.roots.select(F.col("cid").alias(column), F.col("root").alias("_r")), self.n, 16)
+        return df.join(known, column, "left").withColumn(into, F.coalesce("_r", F.col(column))).drop("_r")
+
+    def grow(self, links: DataFrame) -> None:
+        pairs = self.named(self.named(links, "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        new = cut(_ordered(pairs))
+        if new.isEmpty():
+            return
+        more = cut(components(new)).select(F.col("cid").alias("old"), F.col("root").alias("new"))
+        if self.roots is None:
+            self.roots = cut(more.select(F.col("old").alias("cid"), F.col("new").alias("root")))
+        else:
+            held = self.roots.select("cid", F.col("root").alias("old")).unionByName(more.select(F.col("old").alias("cid"), "old"))
+            moved = held.join(small(more, more.count(), 16), "old", "left").select("cid", F.coalesce("new", "old").alias("root"))
+            self.roots = cut(moved.distinct())
+        self.n = self.roots.count()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -286,56 +327,63 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return cut(found.select("w.cid", "d.text").dropDuplicates(["cid"]).select("cid", items("text").alias("items")))
 
 
-def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """Enough confirmed links (a, b) between classes to connect each component.
+def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> Forest:
+    """The components of the classes (cid, n_shingles, sig, the bits, doc_id, _t1).
 
-    ``classes`` has cid, n, sig, the bits, doc_id and _t1. A member of a node carries a label: members of
-    one label are known to be connected, so pairs within it, and nodes of one label, need no look.
+    Members of a node bear the roots known so far; pairs of one root, and nodes of one root, need no look.
+    No pair is confirmed twice.
     """
     n_classes = classes.count()
     depth = first_depth(n_classes)
     start = roots(trees_for(spec.threshold, depth), depth)
     facts = lambda p: small(classes, n_classes, 64).select(F.col("cid").alias(p), F.col("n_shingles").alias(f"{p}n"), *(F.col(k).alias(f"{p}{k}") for k in SKETCH))
-    members = cut(classes.select("cid", F.explode(start("sig")).alias("node"))).withColumn("lab", F.col("cid"))
-    links, sets = None, None
+    members = cut(classes.select("cid", F.explode(start("sig")).alias("node")))
+    forest, sets, tested = Forest(), None, None
+
+    def confirmed(pairs: DataFrame) -> None:
+        nonlocal tested
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not pairs.isEmpty():
+            forest.grow(confirm(pairs, sets, spec))
+
     for level in range(LEVELS + 1):
+        named = forest.named(members, "cid", "lab")
         head = F.min(F.struct("cid", "lab")).alias("h")
-        nodes = members.groupBy("node").agg(F.count("*").alias("n"), head, F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1")
-        nodes = cut(nodes.select("node", "n", F.col("h.cid").alias("head"), F.col("h.lab").alias("hlab")))
-        members = cut(members.join(nodes, "node"))
+        nodes = named.groupBy("node").agg(head, F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1")
+        members = cut(named.select("node", "cid").join(cut(nodes.select("node", F.col("h.cid").alias("head"))), "node"))
         if members.isEmpty():
             break
         if sets is None:
             sets = _sets_of(docs, cut(classes.join(members.select("cid").distinct(), "cid").select("cid", "doc_id", "_t1")), spec.k)
         # every member against its node's least member
-        stars = _ordered(members.where("lab <> hlab").select(F.col("cid").alias("a"), F.col("head").alias("b")))
-        stars = stars.join(facts("a"), "a").join(facts("b"), "b").where(_close(spec, "a", "b")).select("a", "b")
-        found = cut(confirm(cut(stars), sets, spec))
-        links = found if links is None else links.unionByName(found)
-        tied = found.select(F.col("a").alias("head"), F.col("b").alias("cid"), F.lit(True).alias("tied"))
-        members = members.join(tied, ["head", "cid"], "left").withColumn("lab", F.when(F.col("tied"), F.col("hlab")).otherwise(F.col("lab")))
-        members = cut(members.select("node", "cid", "lab", "hlab", "n"))
-        # nodes that are not of one label now: compared exhaustively if few are outside the head's label, else branched on
-        apart = members.where("lab <> hlab").groupBy("node").agg(F.count("*").alias("rest"))
-        members = cut(members.join(cut(apart), "node"))
+        stars = _ordered(members.select(F.col("cid").alias("a"), F.col("head").alias("b")))
+        confirmed(stars.join(facts("a"), "a").join(facts("b"), "b").where(_close(spec, "a", "b")).select("a", "b"))
+        # nodes that are not of one root now: compared exhaustively if few are outside the largest, else branched on
+        members = cut(forest.named(members.select("node", "cid"), "cid", "lab"))
+        per = members.groupBy("node", "lab").agg(F.count("*").alias("m"))
+        state = per.groupBy("node").agg(F.max(F.struct("m", "lab")).alias("t"), F.sum("m").alias("n")).where(F.col("n") > F.col("t.m"))
+        members = cut(members.join(cut(state.select("node", F.col("t.lab").alias("hlab"), (F.col("n") - F.col("t.m")).alias("rest"))), "node"))
         last = level == LEVELS
         now = members if last else members.where(F.col("rest") <= SMALL_NODE)
         one = now.where("lab <> hlab").select("node", F.col("cid").alias("a"), F.col("lab").alias("la")).join(facts("a"), "a")
         two = now.select("node", F.col("cid").alias("b"), F.col("lab").alias("lb")).join(facts("b"), "b")
         across = one.join(two, "node").where((F.col("la") != F.col("lb")) & _close(spec, "a", "b")).select("a", "b")
-        links = links.unionByName(cut(confirm(cut(_ordered(across)), sets, spec)))
-        if last:
+        confirmed(_ordered(across))
+        large = cut(members.where(F.col("rest") > SMALL_NODE).select("cid", "node"))
+        if last or large.isEmpty():
             break
-        large = members.where(F.col("rest") > SMALL_NODE).select("cid", "node", "lab")
-        members = cut(large.join(classes.select("cid", "sig"), "cid").select("cid", F.explode(children()("node", "sig")).alias("node"), "lab"))
-    if links is None:
-        return classes.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    return cut(links.distinct())
+        ids = large.select("cid").distinct()
+        sigs = classes.select("cid", "sig").join(small(ids, ids.count(), 16), "cid")
+        members = cut(large.join(sigs, "cid").select("cid", F.explode(children()("node", "sig")).alias("node")))
+    return forest
 
 
 # ---- results
 
 
+@tidy
 def with_components(docs: DataFrame, spec: Spec) -> DataFrame:
     """(doc_id, _t1, n_shingles, component_id, first) for every row of docs (doc_id, text).
 
@@ -347,21 +395,24 @@ def with_components(docs: DataFrame, spec: Spec) -> DataFrame:
     classes = every.agg(lead, *(F.first(c).alias(c) for c in ("n_shingles", "sig", *SKETCH)))
     # a number for each class, fixed by writing it
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "n_shingles", "sig", *SKETCH, "r.doc_id", "r._t1", "r"))
-    comp = cut(components(join_classes(classes, docs, spec)))
-    rooted = cut(classes.join(comp, "cid", "left").select("key", F.coalesce("root", "cid").alias("root"), "r"))
+    forest = join_classes(classes, docs, spec)
+    rooted = cut(forest.named(classes.select("cid", "key", "r"), "cid", "root").select("key", "root", "r"))
     least = cut(rooted.groupBy("root").agg(F.min("r").alias("c")))
     answer = cut(rooted.join(least, "root").select("key", F.col("c.doc_id").alias("component_id"), F.col("c._t1").alias("_c1")))
+    told = cut(told.select("doc_id", "_t1", "n_shingles", "set_key"))  # without the signatures
     out = told.join(answer, told["set_key"] == answer["key"], "left")
     first = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("_t1").eqNullSafe(F.col("_c1")))
     return out.select("doc_id", "_t1", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"))
 
 
+@tidy
 def op8(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: three-word shingles, linked at 85 of 100."""
     got = with_components(docs.select("doc_id", "text"), Spec(k=3, num=100, den=85))
     return got.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@tidy
 def keep_one(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """The documents with one of each component left, the one with the least doc_id; of repeated rows one stays.
 

@@ -21,7 +21,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siloflow.llm.common import cut, small, words
+from siloflow.llm.common import cut, small, tidy, words
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -211,6 +211,7 @@ def cover(rows: list[dict], grids: dict[str, list[float]]) -> list[Rule]:
     return rules
 
 
+@tidy
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row."""
     rules = learn(docs, labels)
