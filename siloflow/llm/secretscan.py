@@ -46,7 +46,7 @@ MIN_LENGTH = 8
 NAME_CHARS = 128
 
 SIGN = re.compile(r":=|=>|=(?![=~])|:(?![:/])")
-NAME = re.compile(r"""(?:^|[^\w.$-])["']?([A-Za-z_$][\w.$-]*)["']?[\x20\t]*\Z""", re.ASCII)
+NAME = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w.$-]*)["']?[\x20\t]*\Z""", re.ASCII)
 LITERAL = re.compile(r"""[\x20\t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9+/_.=~$@!%^&*-]+))""", re.ASCII)
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|\.|&)[\x20\t]*(?=[\"'`A-Za-z_])")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*\Z", re.ASCII)
@@ -87,7 +87,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], list[str
         if sign.start() < after:
             continue
         left = max(text.rfind("\n", max(0, sign.start() - NAME_CHARS), sign.start()) + 1, sign.start() - NAME_CHARS, 0)
-        name = NAME.search(text, left, sign.start()) if left else NAME.search(text[: sign.start()])
+        name = NAME.search(text, left, sign.start())
         if not name:
             continue
         at, literals, refers = sign.end(), [], []
