@@ -7,8 +7,9 @@ branch on; members that agree go to the same child. Two sets of similarity s sta
 chance s for each step, so a pair at the threshold meets in some tree with a chance that ``recall``
 states and that the number of trees is chosen by. Branching goes on until a node is small; small
 nodes are compared exhaustively. A node that does not shrink (a large group of alike texts) is
-contracted: its members are compared with their least member, the confirmed ones bear its label from then on,
-and the others go on branching, against everyone of another label.
+contracted: its members are compared with the member that meets most others, the confirmed ones bear its root
+from then on, and the others go on branching, against everyone of another root. Distances to that member
+rule out pairs by the triangle inequality, which holds for the Jaccard distance.
 
 Each candidate pair is confirmed on the full sets of the two texts. Components are then found by
 alternating star contractions, all of it in tables.
@@ -224,25 +225,23 @@ def children():
 # ---- the join
 
 
-def _confirmed(num: int, den: int):
-    @F.pandas_udf("boolean")
-    def same(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), dtype=bool)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            out[i] = num * both >= den * (len(p) + len(q) - both)
-        return pd.Series(out)
+def _shared():
+    @F.pandas_udf("int")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        sets = ((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(a, b, strict=True))
+        return pd.Series([len(p) + len(q) - len(np.union1d(p, q)) for p, q in sets], dtype=np.int32)
 
-    return same
+    return shared
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets (cid, items) are similar enough."""
+def measure(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    """(a, b, far, linked) of distinct pairs (a, b): the Jaccard distance of the full sets (cid, n, items), and whether it is small enough."""
     n = pairs.count()
-    left = sets.select(F.col("cid").alias("a"), F.col("items").alias("_p")).join(small(pairs, n, 16), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("_q")), "b")
-    return both.where(_confirmed(spec.num, spec.den)("_p", "_q")).select("a", "b")
+    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("items").alias("_p")).join(small(pairs, n, 16), "a")
+    both = left.join(sets.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("items").alias("_q")), "b")
+    both = both.select("a", "b", "an", "bn", _shared()("_p", "_q").alias("m"))
+    union = F.col("an") + F.col("bn") - F.col("m")
+    return both.select("a", "b", (1.0 - F.col("m") / union).alias("far"), (spec.num * F.col("m") >= spec.den * union).alias("linked"))
 
 
 def _close(spec: Spec, a: str, b: str):
@@ -315,7 +314,7 @@ class Forest:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cid, items): the full sets, sorted, of the classes whose representative is named in wanted (cid, doc_id, _t1)."""
+    """(cid, n, items): the full sets, sorted, of the classes whose representative is named in wanted (cid, doc_id, _t1)."""
 
     @F.pandas_udf("binary")
     def items(texts: pd.Series) -> pd.Series:
@@ -324,7 +323,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     n = wanted.count()
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("_t1")).alias("d")
     found = named.join(small(wanted, n, 64).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._t1") == F.col("w._t1")))
-    return cut(found.select("w.cid", "d.text").dropDuplicates(["cid"]).select("cid", items("text").alias("items")))
+    return cut(found.select("w.cid", "d.text").dropDuplicates(["cid"]).select("cid", items("text").alias("items")).withColumn("n", (F.length("items") / 8).cast("int")))
 
 
 def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> Forest:
@@ -339,37 +338,46 @@ def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> Forest:
     facts = lambda p: small(classes, n_classes, 64).select(F.col("cid").alias(p), F.col("n_shingles").alias(f"{p}n"), *(F.col(k).alias(f"{p}{k}") for k in SKETCH))
     members = cut(classes.select("cid", F.explode(start("sig")).alias("node")))
     forest, sets, tested = Forest(), None, None
+    reach = 1 - spec.threshold + 1e-9
 
     def confirmed(pairs: DataFrame) -> None:
         nonlocal tested
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.isEmpty():
-            forest.grow(confirm(pairs, sets, spec))
+        pairs = cut(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        found = cut(measure(pairs, sets, spec))
+        tested = found if tested is None else tested.unionByName(found)
+        links = found.where("linked").select("a", "b")
+        if not links.isEmpty():
+            forest.grow(links)
 
     for level in range(LEVELS + 1):
         named = forest.named(members, "cid", "lab")
-        head = F.min(F.struct("cid", "lab")).alias("h")
-        nodes = named.groupBy("node").agg(head, F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1")
-        members = cut(named.select("node", "cid").join(cut(nodes.select("node", F.col("h.cid").alias("head"))), "node"))
+        nodes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1")
+        members = cut(named.select("node", "cid").join(cut(nodes.select("node", "size")), "node"))
         if members.isEmpty():
             break
         if sets is None:
             sets = _sets_of(docs, cut(classes.join(members.select("cid").distinct(), "cid").select("cid", "doc_id", "_t1")), spec.k)
-        # every member against its node's least member
+        # a node's head is the member that meets most others over all nodes, so likely the one the others were edited from
+        central = cut(members.groupBy("cid").agg(F.sum("size").alias("met")))
+        heads = members.join(central, "cid").groupBy("node").agg(F.max(F.struct("met", "cid")).alias("h"))
+        members = cut(members.select("node", "cid").join(cut(heads.select("node", F.col("h.cid").alias("head"))), "node"))
         stars = _ordered(members.select(F.col("cid").alias("a"), F.col("head").alias("b")))
         confirmed(stars.join(facts("a"), "a").join(facts("b"), "b").where(_close(spec, "a", "b")).select("a", "b"))
         # nodes that are not of one root now: compared exhaustively if few are outside the largest, else branched on
-        members = cut(forest.named(members.select("node", "cid"), "cid", "lab"))
-        per = members.groupBy("node", "lab").agg(F.count("*").alias("m"))
+        named = cut(forest.named(members, "cid", "lab"))
+        per = named.groupBy("node", "lab").agg(F.count("*").alias("m"))
         state = per.groupBy("node").agg(F.max(F.struct("m", "lab")).alias("t"), F.sum("m").alias("n")).where(F.col("n") > F.col("t.m"))
-        members = cut(members.join(cut(state.select("node", F.col("t.lab").alias("hlab"), (F.col("n") - F.col("t.m")).alias("rest"))), "node"))
+        named = named.join(cut(state.select("node", F.col("t.lab").alias("hlab"), (F.col("n") - F.col("t.m")).alias("rest"))), "node")
+        # distances to the head, where they were measured: two members whose distances differ by more than a link's are no link
+        ends = [F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")]
+        known = tested.select("a", "b", "far")
+        members = cut(named.select("*", *ends).join(known, ["a", "b"], "left").select("node", "cid", "lab", "hlab", "rest", F.when(F.col("cid") == F.col("head"), 0.0).otherwise(F.col("far")).alias("far")))
         last = level == LEVELS
         now = members if last else members.where(F.col("rest") <= SMALL_NODE)
-        one = now.where("lab <> hlab").select("node", F.col("cid").alias("a"), F.col("lab").alias("la")).join(facts("a"), "a")
-        two = now.select("node", F.col("cid").alias("b"), F.col("lab").alias("lb")).join(facts("b"), "b")
-        across = one.join(two, "node").where((F.col("la") != F.col("lb")) & _close(spec, "a", "b")).select("a", "b")
+        one = now.where("lab <> hlab").select("node", F.col("cid").alias("a"), F.col("lab").alias("la"), F.col("far").alias("fa")).join(facts("a"), "a")
+        two = now.select("node", F.col("cid").alias("b"), F.col("lab").alias("lb"), F.col("far").alias("fb")).join(facts("b"), "b")
+        near = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= reach, F.lit(True))
+        across = one.join(two, "node").where((F.col("la") != F.col("lb")) & near & _close(spec, "a", "b")).select("a", "b")
         confirmed(_ordered(across))
         large = cut(members.where(F.col("rest") > SMALL_NODE).select("cid", "node"))
         if last or large.isEmpty():
