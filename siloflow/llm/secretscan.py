@@ -3,12 +3,14 @@
 A text is lexed into name-literal pairs (``name = "x"``, ``name: x``, ``"name": "x"``, ``name => x``,
 ``name := x``, ``<name>x</name>``), string concatenations are folded, constants are propagated through names that refer
 to earlier ones, and each literal is scored by how sensitive the names are that it reaches, by its
-length and by the spread of its characters. The contract's plain patterns (assign, access, hex) are
+length and by the spread of its characters. Names, values and their number have no bound: a constant is
+held as references to what it is joined from, with its characters counted, so it is never written out. The contract's plain patterns (assign, access, hex) are
 always kept; literals that the lexer adds come as spans of kind ``literal``.
 
 Edge cases: null text counts as empty and has no span. Equal texts give equal results, row by row.
-Offsets are code points, end exclusive. Every step is linear in the text: patterns are anchored on
-the assignment sign, and texts without one are not lexed at all.
+Offsets are code points, end exclusive. Every step is linear in the text (and in the number of
+different characters of a joined constant): patterns are anchored on the assignment sign, a name is looked for
+between a sign and the one before, and texts without one are not lexed at all.
 """
 
 from __future__ import annotations
@@ -42,15 +44,16 @@ HARMLESS = {"count", "size", "length", "limit", "name", "type", "url", "uri", "p
 PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.+|change_?me|example.*|your[-_ ].*|<.*>|\$\{.*\}|%\(.*|none|null|true|false|todo|dummy|test|placeholder|redacted)$")
 THRESHOLD = 0.75
 MIN_LENGTH = 8
-#: A name is looked for in at most this many characters before a sign; longer names are no identifiers.
-NAME_CHARS = 128
+#: Of a joined constant so many characters of either end are kept as they are, more than any placeholder's fixed part has.
+ENDS = 32
 
 SIGN = re.compile(r":=|=>|=(?![=~])|:(?![:/])")
-NAME = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w.$-]*)["']?[\x20\t]*\Z""", re.ASCII)
+#: A name from its sign leftwards.
+NAME_BACK = re.compile(r"""[\x20\t]*+["']?+([\w.$-]*+(?<=[A-Za-z_$]))""", re.ASCII)
 LITERAL = re.compile(r"""[\x20\t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9+/_.=~$@!%^&*-]+))""", re.ASCII)
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|\.|&)[\x20\t]*(?=[\"'`A-Za-z_])")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*\Z", re.ASCII)
-XML = re.compile(r"<([A-Za-z_][\w.-]{0,127})>([^<>\n]{8,512})</\1>", re.ASCII)
+XML = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\n]{8,}+)</\1>", re.ASCII)
 
 
 def name_parts(name: str) -> list[str]:
@@ -67,27 +70,92 @@ def sensitivity(name: str) -> float:
     return min(1.0, max((SENSITIVE.get(b, 0.0) for b in both), default=0.0) + sum(sorted((SENSITIVE.get(p, 0.0) for p in parts), reverse=True)[:2]))
 
 
-def entropy(literal: str) -> float:
+def entropy(counts: Counter) -> float:
     """Bits for each character."""
-    n = len(literal)
-    return -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) if n else 0.0
-
-
-def literal_score(name: str, literal: str) -> float:
-    if len(literal) < MIN_LENGTH or PLACEHOLDER.match(literal) or re.search(r"\s", literal):
+    n = counts.total()
+    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
+
+
+class Value:
+    """A constant: its own literal's span, or the values it is joined from, shared and never written out."""
+
+    __slots__ = ("_counts", "ends", "length", "marked", "parts", "span", "text")
+
+    def __init__(self, span: tuple[int, int] | None, text: str, parts: tuple[Value, ...] = ()):
+        self.span, self.text, self.parts, self.marked = span, text, parts, False
+        self.length = sum(p.length for p in parts) if parts else len(text)
+        self.ends = (text, text)
+        self._counts: Counter | None = None
+        if parts:
+            head = tail = ""
+            for p in parts:
+                if len(head) >= ENDS:
+                    break
+                head += p.ends[0][:ENDS]
+            for p in reversed(parts):
+                if len(tail) >= ENDS:
+                    break
+                tail = p.ends[1][-ENDS:] + tail
+            self.ends = (head[:ENDS], tail[-ENDS:])
+            self._counts = sum_counts(parts)
+
+    @staticmethod
+    def joined(parts: list[Value]) -> Value:
+        return parts[0] if len(parts) == 1 else Value(None, "", tuple(parts))
+
+    def counts(self) -> Counter:
+        return self._counts if self._counts is not None else Counter(self.text)
+
+    def outline(self, counts: Counter) -> str:
+        """A text that is a placeholder if and only if the whole value is: both ends with every character between them."""
+        if not self.parts:
+            return self.text
+        head, tail = self.ends
+        return head + "".join(counts) + tail if self.length > ENDS else head
+
+    def mark(self, found: set[tuple[int, int]]) -> None:
+        """Add the spans of all literals it is joined from; what is marked already is not visited again."""
+        open_ = [self]
+        while open_:
+            v = open_.pop()
+            if not v.marked:
+                v.marked = True
+                if v.span:
+                    found.add(v.span)
+                open_ += v.parts
+
+
+def sum_counts(parts: tuple[Value, ...]) -> Counter:
+    out = Counter()
+    for p in parts:
+        out.update(p.counts())
+    return out
+
+
+CLASSES = tuple(re.compile(p) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+
+
+def value_score(name: str, value: Value) -> float:
+    if value.length < MIN_LENGTH or not (weight := sensitivity(name)):
         return 0.0
-    mixed = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")) >= 2
-    return sensitivity(name) * (0.4 + 0.1 * min(entropy(literal), 4.0) + (0.2 if mixed else 0.0))
+    counts = value.counts()
+    used = "".join(counts)
+    if PLACEHOLDER.match(value.outline(counts)) or re.search(r"\s", used):
+        return 0.0
+    mixed = sum(bool(p.search(used)) for p in CLASSES) >= 2
+    return weight * (0.4 + 0.1 * min(entropy(counts), 4.0) + (0.2 if mixed else 0.0))
 
 
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], list[str]]]:
     """(name, literals with offsets, names referred to) of each assignment, in text order."""
-    after = 0
+    after = before = 0
     for sign in SIGN.finditer(text):
+        # no name holds a sign, so it starts after the one before
+        left, before = before, sign.end()
         if sign.start() < after:
             continue
-        left = max(text.rfind("\n", max(0, sign.start() - NAME_CHARS), sign.start()) + 1, sign.start() - NAME_CHARS, 0)
-        name = NAME.search(text, left, sign.start())
+        left = max(left, text.rfind("\n", left, sign.start()) + 1)
+        name = NAME_BACK.match(text[left : sign.start()][::-1])
         if not name:
             continue
         at, literals, refers = sign.end(), [], []
@@ -104,23 +172,28 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], list[str
             at = more.end()
         after = at
         if literals:
-            yield name.group(1), literals, refers
+            yield name.group(1)[::-1], literals, refers
     for m in XML.finditer(text):
         yield m.group(1), [(m.start(2), m.end(2), m.group(2))], []
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose value reaches a sensitive name, directly or through other names."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    said = list(pairs(text))
+    later = {r for _, _, refers in said for r in refers}
+    known: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
-    for name, literals, refers in pairs(text):
-        value = [y for x in literals for y in (known.get(x[2], [x]) if x[2] in refers else [x])]
-        joined = "".join(x[2] for x in value)
-        bare = not any(x[2] in known for x in literals if x[2] in refers) and bool(refers) and not re.search(r"[0-9]", joined)
-        if not bare and literal_score(name, joined) >= THRESHOLD:
-            found.update((s, e) for s, e, _ in value)
-        if len(known) < 100_000 or name in known:
-            known[name] = value[:64]
+    for name, literals, refers in said:
+        named = set(refers)
+        held = [known.get(x[2]) if x[2] in named else None for x in literals]
+        if name not in later and not sensitivity(name):
+            continue
+        value = Value.joined([h or Value((s, e), body) for h, (s, e, body) in zip(held, literals, strict=True)])
+        bare = bool(refers) and not any(held) and not any(re.search("[0-9]", x[2]) for x in literals)
+        if not bare and value_score(name, value) >= THRESHOLD:
+            value.mark(found)
+        if name in later:
+            known[name] = value
     return sorted(found)
 
 

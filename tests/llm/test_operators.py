@@ -95,6 +95,22 @@ def test_literals_that_reach_sensitive_names(text, found):
     assert found in [text[s:e] for s, e in secretscan.lexed(text)]
 
 
+def test_secrets_of_any_length_and_number():
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "aB3dE5fG7h" * 90
+    for text in (f"<token>{jwt}</token>", f"<{'my.' * 60}token>{jwt}</{'my.' * 60}token>", f'{"x" * 200}_token = "{jwt}"'):
+        assert [text[s:e] for s, e in secretscan.lexed(text)] == [jwt]
+    pieces = [f"q{i}Zk" for i in range(200)]
+    assert len(secretscan.lexed("seed = " + " + ".join(f"'{x}'" for x in pieces) + "\nauth_token = seed")) == 200
+    many = "".join(f"n{i} = 'v'\n" for i in range(100_001)) + "seed = 'Qm4r8TzK2wVn'\nauth_token = seed"
+    assert [many[s:e] for s, e in secretscan.lexed(many)] == ["Qm4r8TzK2wVn"]
+
+
+def test_constants_that_double_stay_small():
+    text = "a0 = 'Zx81kkQm'\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(200)) + "auth_token = a200"
+    assert [text[s:e] for s, e in secretscan.lexed(text)] == ["Zx81kkQm"]
+    assert secretscan.lexed("a = 'xxxx'\nb = a + a\nc = b + b + b + b + b + b\nauth_token = c") == []
+
+
 @pytest.mark.parametrize("text", ['title = "A plain long title"', 'password = "changeme"', "token_count = 12345678", "note: the password was lost", "ratio = a / b"])
 def test_harmless_assignments(text):
     assert secretscan.lexed(text) == []
