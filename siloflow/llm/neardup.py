@@ -4,8 +4,8 @@ Every text becomes the set of its distinct word shingles; equal sets are one cla
 grouping, and only class representatives go on. A representative carries HASHES MinHash values. In
 each of TREES independent trees a node chooses, from its own path, which MinHash values its members
 branch on; members that agree go to the same child. Two sets of similarity s stay together with
-chance s for each step, so a pair at the threshold meets in some tree with a chance that ``recall``
-states and that the number of trees is chosen by. Branching goes on until a node is small; small
+chance s for each step, so a pair at the threshold is missed by all trees, over all levels of branching,
+with a chance that ``missed`` states and that the number of trees is chosen by. Branching goes on until a node is small; small
 nodes are compared exhaustively. A node that does not shrink (a large group of alike texts) is
 contracted: its members are compared with the member that meets most others, the confirmed ones bear its root
 from then on, and the others go on branching, against everyone of another root. Distances to that member
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log, sqrt
+from math import ceil, comb, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -38,9 +38,10 @@ HASHES = 192
 #: Similarity that unrelated texts stay below; the first look at a node comes after so many values that these rarely meet.
 BACKGROUND = 0.1
 LEAST_DEPTH = 4
-#: Large nodes branch into CHILDREN paths of STEP more values each, for LEVELS times at most.
-CHILDREN = 6
+#: Large nodes branch into paths of STEP more values each, for LEVELS times at most; so many that a pair at the threshold is
+#: expected to stay together in SURVIVING of them.
 STEP = 6
+SURVIVING = 4
 LEVELS = 4
 SMALL_NODE = 32
 MISS = 1e-6
@@ -178,9 +179,36 @@ def first_depth(n: int) -> int:
     return max(LEAST_DEPTH, ceil(log(max(n, 2)) / log(1 / BACKGROUND)))
 
 
+def children_for(threshold: float) -> int:
+    return ceil(SURVIVING / threshold**STEP)
+
+
+def missed(threshold: float, depth: int, trees: int) -> float:
+    """Chance that a pair at the threshold meets in no tree, if every node it is in is large for all LEVELS.
+
+    All trees draw on the same HASHES values, of which a pair shares a binomial number: the chance is
+    averaged over it.
+    """
+    agree = np.arange(HASHES + 1) / HASHES
+    spread = np.array([float(comb(HASHES, i)) * threshold**i * (1 - threshold) ** (HASHES - i) for i in range(HASHES + 1)])
+    lost = np.zeros(HASHES + 1)  # by a tree's levels so far, seen from their top
+    for _ in range(LEVELS):
+        lost = (1 - agree**STEP * (1 - lost)) ** children_for(threshold)
+    return float(spread @ (1 - agree**depth * (1 - lost)) ** trees)
+
+
 def trees_for(threshold: float, depth: int, miss: float = MISS) -> int:
-    """Trees in which a pair at the threshold, taking ``depth`` values in each, meets nowhere with a chance of ``miss``."""
-    return max(1, ceil(log(miss) / log(1 - threshold**depth)))
+    """The least number of trees in which a pair at the threshold is missed with a chance of ``miss`` at most, over all levels."""
+    if (1 - threshold) ** HASHES > miss / 2:
+        raise ValueError(f"{HASHES} values are too few for a threshold of {threshold}")
+    most = 1
+    while missed(threshold, depth, most) > miss:
+        most *= 2
+    least = most // 2 + 1
+    while least < most:
+        middle = (least + most) // 2
+        least, most = (least, middle) if missed(threshold, depth, middle) <= miss else (middle + 1, most)
+    return most
 
 
 def _walk(path: np.ndarray, sig: np.ndarray, steps: int) -> np.ndarray:
@@ -211,12 +239,12 @@ def roots(trees: int, depth: int):
     return nodes
 
 
-def children():
+def children(branches: int):
     @F.pandas_udf("array<long>")
     def nodes(node: pd.Series, sigs: pd.Series) -> pd.Series:
         if not len(sigs):
             return pd.Series([], dtype=object)
-        start = _mix(node.to_numpy().astype(np.int64).view(np.uint64)[:, None] + np.arange(1, CHILDREN + 1, dtype=np.uint64)[None, :] * _ODD)
+        start = _mix(node.to_numpy().astype(np.int64).view(np.uint64)[:, None] + np.arange(1, branches + 1, dtype=np.uint64)[None, :] * _ODD)
         return _lists(_walk(start, _matrix(sigs), STEP))
 
     return nodes
@@ -335,6 +363,7 @@ def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> Forest:
     n_classes = classes.count()
     depth = first_depth(n_classes)
     start = roots(trees_for(spec.threshold, depth), depth)
+    branch = children(children_for(spec.threshold))
     facts = lambda p: small(classes, n_classes, 64).select(F.col("cid").alias(p), F.col("n_shingles").alias(f"{p}n"), *(F.col(k).alias(f"{p}{k}") for k in SKETCH))
     members = cut(classes.select("cid", F.explode(start("sig")).alias("node")))
     forest, sets, tested = Forest(), None, None
@@ -384,7 +413,7 @@ def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> Forest:
             break
         ids = large.select("cid").distinct()
         sigs = classes.select("cid", "sig").join(small(ids, ids.count(), 16), "cid")
-        members = cut(large.join(sigs, "cid").select("cid", F.explode(children()("node", "sig")).alias("node")))
+        members = cut(large.join(sigs, "cid").select("cid", F.explode(branch("node", "sig")).alias("node")))
     return forest
 
 

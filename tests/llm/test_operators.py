@@ -302,6 +302,27 @@ def test_nodes_that_do_not_shrink_branch_on(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in by_id(neardup.op8(docs)).items()} == brute.components(texts.items(), 3, 100, 85)
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_trees_find_pairs_at_the_threshold_through_all_levels(threshold):
+    """The chance to miss, worked out anew from what the join is run with."""
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    node = pd.Series([1], dtype="int64")
+    sig = pd.Series([np.arange(neardup.HASHES, dtype=np.uint32).tobytes()])
+    branches = len(neardup.children(neardup.children_for(threshold)).func(node, sig)[0])
+    for depth in (5, 6, 8):
+        trees, miss = neardup.trees_for(threshold, depth), 0.0
+        for same in range(neardup.HASHES + 1):
+            a, below = same / neardup.HASHES, 1.0
+            for _ in range(neardup.LEVELS):
+                below = 1 - (1 - a**neardup.STEP * below) ** branches
+            miss += math.comb(neardup.HASHES, same) * threshold**same * (1 - threshold) ** (neardup.HASHES - same) * (1 - a**depth * below) ** trees
+        assert 0.5e-6 < miss <= 1e-6
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     import numpy as np
 
