@@ -1,6 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts come from a bounded, seeded share of the labelled rows; the log-probability
+Training counts come from a bounded, seeded share of each language's labelled rows, so that rare
+languages are learned whole however many rows the others have; the log-probability
 matrix (buckets x languages) is broadcast and whole texts are scored in numpy batches.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. A null label or a null
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
-#: Expected number of labelled rows that the model is fitted on; the rate follows from the count of all.
+#: Expected number of labelled rows that the model is fitted on; each language's rate follows from the counts of all.
 MAX_TRAIN_ROWS = 20_000
+#: Rows are drawn by so many bits of their hash.
+DRAW_BITS = 40
 #: The matrix has 2**BUCKET_BITS rows for each language, so the number of languages bounds the broadcast.
 MAX_LANGS = 400
 SMOOTHING = 0.5
@@ -90,6 +93,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def shares(sizes: dict[str, int], max_rows: int) -> dict[str, int]:
+    """Rows to expect of each label: all of the rare ones, and of the others an equal number, max_rows together."""
+    out, left = {}, max_rows
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = max(1, min(n, left // (len(sizes) - i)))
+        left -= out[lang]
+    return out
+
+
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", row_id: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS, seed: int = 1) -> dict:
     """Learn from rows with a text, a label and an id; returns {"langs": [...], "logp": float32 matrix}."""
     usable = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(row_id).isNotNull()).select(
@@ -98,11 +110,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", row_id: str =
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} labels: the broadcast matrix would have no bound")
-    total = sum(sizes.values())
-    if not total:
+    if not sizes:
         return {"langs": [], "logp": np.zeros((1 << BUCKET_BITS, 0), dtype=np.float32)}
-    rate = min(1.0, max_rows / total)
-    sample = usable.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).select("text", "lang")
+    share = {lang: -(-(n << DRAW_BITS) // sizes[lang]) for lang, n in shares(sizes, max_rows).items()}
+    upto = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
+    sample = usable.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << DRAW_BITS)) < upto).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}
@@ -116,7 +128,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", row_id: str =
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": counts[at]})
 
     rows = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sizes)
+    langs = sorted(rows["lang"].unique())  # a label without a counted n-gram would be a column of smoothing only
     counts = np.full((1 << BUCKET_BITS, len(langs)), SMOOTHING)
     where = {lang: i for i, lang in enumerate(langs)}
     np.add.at(counts, (rows["bucket"].to_numpy(), rows["lang"].map(where).to_numpy()), rows["n"].to_numpy())

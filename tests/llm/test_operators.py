@@ -39,6 +39,18 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert {r["lang_pred"] for r in langid.op1(odd).collect()} <= {"en", "de"}
 
 
+def test_rare_languages_are_learned_at_any_input_size(spark):
+    import numpy as np
+
+    common = [(i, story(i % 7, 9), "en" if i % 2 else "de", "a") for i in range(4000)]
+    rare = [(10_000 + i, "zażółć gęślą jaźń", "pl", "a") for i in range(5)] + [(20_000 + i, "12 34", "qq", "a") for i in range(5)]
+    model = langid.fit(spark.createDataFrame(rows(*common, *rare), SCHEMA), max_rows=60)
+    assert model["langs"] == ["de", "en", "pl"] and all(len(np.unique(c)) > 1 for c in model["logp"].T)
+    assert langid.score_texts(["gęślą jaźń"], **model)[0] == ["pl"]
+    assert langid.shares({"a": 3, "b": 1000, "c": 50}, 100) == {"a": 3, "c": 48, "b": 49}
+    assert langid.shares({"a": 3, "b": 10}, 100) == {"a": 3, "b": 10}
+
+
 def test_long_texts_are_counted_in_pieces(monkeypatch):
     import numpy as np
 
