@@ -53,6 +53,8 @@ MIN_COVER = 0.75
 MAX_SHIFT = 2
 #: A statement of n words may stretch over STRETCH * n + MAX_SHIFT words of the text.
 STRETCH = 1.5
+#: No span of a statement stretches further.
+LONGEST = int(STRETCH * max(len(phrase.split()) for _, phrase in STATEMENTS)) + MAX_SHIFT
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -103,9 +105,12 @@ def spans(found: DataFrame, keys: list[str]) -> DataFrame:
     short = F.col("last") - F.col("first") + K <= STRETCH * (F.col("pairs") + 1) + MAX_SHIFT
     enough = (F.col("t") >= 0) & F.when(F.col("base"), F.col("places") > 0).otherwise((cover >= MIN_COVER) & short)
     merged = merged.withColumn("cover", F.when(enough, F.when(F.col("base"), 1.0).otherwise(cover)).otherwise(0.0))
-    # wordings of one family differ in a word or two: the best held one stands
-    rivals = Window.partitionBy(*keys, "base", F.split("label", "-").getItem(0))
-    return merged.withColumn("verified", (F.col("cover") > 0) & (F.col("cover") == F.max("cover").over(rivals)))
+    # wordings of one family differ in a word or two: of those that overlap the best held one stands
+    rivals = Window.partitionBy(*keys, "base", F.split("label", "-").getItem(0)).orderBy("first").rangeBetween(-LONGEST, LONGEST)
+    near = F.collect_list(F.when(F.col("cover") > 0, F.struct("first", "last", "cover"))).over(rivals)
+    merged = merged.withColumn("_near", F.when(F.col("base"), F.array().cast("array<struct<first:int,last:int,cover:double>>")).otherwise(near))
+    better = F.exists("_near", lambda x: (x["first"] <= F.col("last")) & (x["last"] >= F.col("first")) & (x["cover"] > F.col("cover")))
+    return merged.withColumn("verified", (F.col("cover") > 0) & ~better).drop("_near")
 
 
 def op5(docs: DataFrame) -> DataFrame:

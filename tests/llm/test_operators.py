@@ -201,6 +201,14 @@ def test_edited_and_repeated_statements(spark):
     assert got[3]["n_base"] == 3 and got[2]["score"] < 1 == got[1]["score"]
 
 
+def test_wordings_compete_at_one_place_only(spark):
+    v2 = "licensed under the gnu general public license version 2"
+    v3 = "licensed under the gnu general public license, in version 3"
+    docs = spark.createDataFrame(rows((1, f"{v2} {prose(90)} {v3} {prose(9)}", "en", "a"), (2, v3, "en", "a"), (3, v2, "en", "a")), SCHEMA)
+    got = by_id(licenses.op5(docs))
+    assert [got[i]["labels"] for i in (1, 2, 3)] == ["gpl,gpl-2.0,gpl-3.0", "gpl,gpl-3.0", "gpl,gpl-2.0"]
+
+
 # ---- 6
 
 
