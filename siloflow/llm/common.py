@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,25 +19,31 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 32 << 20
 
 
+#: Where a local session whose spark.checkpoint.dir is unset keeps its tables.
+_LOCAL = "siloflow.scratch"
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below spark.checkpoint.dir, which all executors share. Unset, it is refused on a cluster; a local session, as in tests, gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siloflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.conf.set(_LOCAL, base)
     return f"{base.rstrip('/')}/siloflow/{uuid.uuid4().hex}"
 
 
-#: Folders written by ``cut`` within the running ``tidy`` functions, innermost last.
-_WRITTEN: list[list[str]] = []
+#: Folders written by ``cut`` within the running ``tidy`` functions of this thread or task, innermost last.
+_WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends, and a lost executor costs a reread only."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    if _WRITTEN:
-        _WRITTEN[-1].append(path)
+    if _WRITTEN.get():
+        _WRITTEN.get()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,17 +59,18 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(operator)
     def tidied(*args, **kwargs) -> DataFrame:
-        _WRITTEN.append([])
+        outer, written = _WRITTEN.get(), []
+        token = _WRITTEN.set((*outer, written))
         try:
             out = operator(*args, **kwargs)
             needed = _read_by(out)
         finally:
-            written = _WRITTEN.pop()
+            _WRITTEN.reset(token)
         for path in written:
             if path.rsplit("/", 1)[1] not in needed:
                 remove(out.sparkSession, path)
-            elif _WRITTEN:
-                _WRITTEN[-1].append(path)
+            elif outer:
+                outer[-1].append(path)
         return out
 
     return tidied
@@ -86,15 +94,15 @@ def words(text: Column, separator: str = SPACE) -> Column:
 
 
 def text_key(text: Column) -> list[Column]:
-    """Two hashes and a length that tell texts apart, for grouping rows without shuffling their text."""
+    """Two hashes that tell texts apart, for grouping rows without shuffling their text."""
     return [
         F.xxhash64(text).alias("_t1"),
         F.xxhash64(F.lit(7), text).alias("_t2"),
     ]
 
 
-def fits_broadcast(n_rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    return n_rows * row_bytes <= limit
+def fits_broadcast(n_rows: int, row_bytes: int) -> bool:
+    return n_rows * row_bytes <= BROADCAST_BYTES
 
 
 def small(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:

@@ -2,16 +2,20 @@
 
 Every text becomes the set of its distinct word shingles; equal sets are one class, found by exact
 grouping, and only class representatives go on. A representative carries HASHES MinHash values. In
-each of TREES independent trees a node chooses, from its own path, which MinHash values its members
+each of many independent trees a node chooses, from its own path, which MinHash values its members
 branch on; members that agree go to the same child. Two sets of similarity s stay together with
 chance s for each step, so a pair at the threshold is missed by all trees, over all levels of branching,
-with a chance that ``missed`` states and that the number of trees is chosen by. Branching goes on until a node is small; small
-nodes are compared exhaustively. A node that does not shrink (a large group of alike texts) is
-contracted: its members are compared with the member that meets most others, the confirmed ones bear its root
-from then on, and the others go on branching, against everyone of another root. Distances to that member
-rule out pairs by the triangle inequality, which holds for the Jaccard distance.
+with a chance that ``missed`` states and that the number of trees is chosen by.
 
-Each candidate pair is confirmed on the full sets of the two texts. Components are then found by
+Members of a node are first compared with its head, the member that meets most others; the confirmed ones
+bear one root from then on. Heads are taken anew, from outside the largest root, as long as that connects many.
+What is left of a node is compared exhaustively where that takes at most NODE_PAIRS comparisons, else its members branch on.
+A comparison is an expression of the join itself, and the join gives only pairs that can still be links: sizes, one bit of each
+MinHash value, and an odd sketch: ODD_BITS parities of the set's hashes. Each parity in which two sketches
+differ stands for at least one shingle that only one set has, so the count of them is a bound that loses no link; for long
+texts, where parities cancel, the expected count and its spread give the tighter one.
+
+Each pair that is left is confirmed on the full sets of the two texts. Components are then found by
 alternating star contractions, all of it in tables.
 
 Edge cases: null texts and texts without words have an empty set, link with nothing and stand alone
@@ -25,14 +29,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, comb, log, sqrt
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siloflow.llm.common import cut, small, tidy
+from siloflow.llm.common import cut, fits_broadcast, small, tidy
 
 HASHES = 192
 #: Similarity that unrelated texts stay below; the first look at a node comes after so many values that these rarely meet.
@@ -40,11 +44,18 @@ BACKGROUND = 0.1
 LEAST_DEPTH = 4
 #: Large nodes branch into paths of STEP more values each, for LEVELS times at most; so many that a pair at the threshold is
 #: expected to stay together in SURVIVING of them.
-STEP = 6
+STEP = 4
 SURVIVING = 4
-LEVELS = 4
-SMALL_NODE = 32
+LEVELS = 2
+#: Comparisons that are made at once in a node; what is larger branches on, until the last level.
+NODE_PAIRS = 1 << 21
+#: Nodes with more members outside their largest root get a further head, while the last ones connected a share GAIN of these members.
+MANY = 32
+GAIN = 0.1
 MISS = 1e-6
+#: Parities of an odd sketch, and spreads that a count of differing parities may lie above what is expected at the threshold.
+ODD_BITS = 1024
+SPREADS = 6.5
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 22
 #: Counted tables of up to so many rows are kept in one partition while components are contracted.
@@ -65,9 +76,13 @@ class Spec:
 
     @property
     def most_differences(self) -> int:
-        """Of HASHES one-bit MinHash values, so many differ at most for a pair at the threshold, but for a chance of about 1e-7."""
-        p = (1 - self.threshold) / 2
-        return ceil(HASHES * p + 5.3 * sqrt(HASHES * p * (1 - p)))
+        """Of HASHES one-bit MinHash values, so many differ at most for a pair at the threshold, but for a chance of MISS / 10."""
+        p, below = (1 - self.threshold) / 2, 1.0
+        for i in range(HASHES + 1):
+            below -= comb(HASHES, i) * p**i * (1 - p) ** (HASHES - i)
+            if below <= MISS / 10:
+                return i
+        return HASHES
 
 
 # ---- sets of hashed shingles, vectorised over a batch of texts
@@ -148,6 +163,13 @@ def sketch(sig: np.ndarray) -> list[int]:
     return [int(x) for x in np.bitwise_or.reduce(bits, axis=1).view(np.int64)]
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """ODD_BITS parities: how many of the hashes fall to each place, even or odd, in longs."""
+    odd = np.bincount((hashes % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+ODD = tuple(f"o{i}" for i in range(ODD_BITS // 64))
 SET_SCHEMA = "n_shingles long, set_key binary, sig binary, " + ", ".join(f"{k} long" for k in SKETCH)
 
 
@@ -253,30 +275,30 @@ def children(branches: int):
 # ---- the join
 
 
-def _shared():
-    @F.pandas_udf("int")
-    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        sets = ((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(a, b, strict=True))
-        return pd.Series([len(p) + len(q) - len(np.union1d(p, q)) for p, q in sets], dtype=np.int32)
-
-    return shared
-
-
 def measure(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """(a, b, far, linked) of distinct pairs (a, b): the Jaccard distance of the full sets (cid, n, items), and whether it is small enough."""
+    """(a, b, linked) of distinct pairs (a, b), from the full sets (cid, n, items)."""
     n = pairs.count()
-    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("items").alias("_p")).join(small(pairs, n, 16), "a")
+    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("items").alias("_p")).join(small(pairs, n, 64), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("items").alias("_q")), "b")
-    both = both.select("a", "b", "an", "bn", _shared()("_p", "_q").alias("m"))
-    union = F.col("an") + F.col("bn") - F.col("m")
-    return both.select("a", "b", (1.0 - F.col("m") / union).alias("far"), (spec.num * F.col("m") >= spec.den * union).alias("linked"))
+    m = F.size(F.array_intersect("_p", "_q"))
+    return both.select("a", "b", (spec.num * m >= spec.den * (F.col("an") + F.col("bn") - m)).alias("linked"))
+
+
+def _differing(spec: Spec, p, q):
+    """The most parities that differ between linked sets of sizes p and q."""
+    most = (p + q) * float(spec.num - spec.den) / float(spec.num + spec.den)  # shingles that only one of the sets has
+    expected = ODD_BITS / 2 * (1 - F.exp(most * (-2 / ODD_BITS)))
+    spread = F.sqrt(ODD_BITS / 4 * (1 - F.exp(most * (-4 / ODD_BITS))))
+    return F.least(most + 1e-6, expected + SPREADS * spread + 1)
 
 
 def _close(spec: Spec, a: str, b: str):
-    """Whether sizes and bits leave the pair a chance; a and b are the prefixes of either side's columns."""
-    differ = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in SKETCH), F.lit(0))
+    """Whether sizes, bits and odd sketches leave the pair a chance; a and b are the prefixes of either side's columns."""
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    bits = sum((apart(f"{a}{k}", f"{b}{k}") for k in SKETCH), F.lit(0))
+    odd = sum((apart(f"{a}{k}", f"{b}{k}") for k in ODD), F.lit(0))
     p, q = F.col(f"{a}n"), F.col(f"{b}n")
-    return (spec.num * F.least(p, q) >= spec.den * F.greatest(p, q)) & (differ <= spec.most_differences)
+    return (spec.num * F.least(p, q) >= spec.den * F.greatest(p, q)) & (bits <= spec.most_differences) & (odd <= _differing(spec, p, q))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -341,17 +363,43 @@ class Forest:
         self.n = self.roots.count()
 
 
+#: Bits of the sieve that keeps most texts which nobody asked for out of a shuffle: a table of 16 MB at most.
+SIEVE_BITS, SIEVE_BLOCK = 1 << 27, 1 << 15
+
+
+def _sieved(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of named whose (doc_id, _t1) falls on a bit that a wanted one sets; wanted ones always stay."""
+    at = lambda df: df.withColumn("_at", F.pmod(F.xxhash64("doc_id", "_t1"), F.lit(SIEVE_BITS))).withColumn("_block", F.floor(F.col("_at") / SIEVE_BLOCK)).withColumn("_bit", F.col("_at") % SIEVE_BLOCK)
+    sieve = at(wanted).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) > 0
+    return at(named).join(F.broadcast(sieve), "_block").where(is_set).select(*named.columns)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cid, n, items): the full sets, sorted, of the classes whose representative is named in wanted (cid, doc_id, _t1)."""
+    """(cid, n, items, o0 and on): the full sets and odd sketches of the classes whose representative is named in wanted (cid, doc_id, _t1)."""
 
-    @F.pandas_udf("binary")
-    def items(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, k).tobytes() for t in texts], dtype=object)
+    @F.pandas_udf("items array<long>, odd array<long>")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, k) for t in texts]
+        return pd.DataFrame({"items": pd.Series([h.view(np.int64) for h in sets], dtype=object), "odd": pd.Series([odd_sketch(h) for h in sets], dtype=object)})
 
     n = wanted.count()
-    named = docs.select("doc_id", "text", F.xxhash64("text").alias("_t1")).alias("d")
-    found = named.join(small(wanted, n, 64).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._t1") == F.col("w._t1")))
-    return cut(found.select("w.cid", "d.text").dropDuplicates(["cid"]).select("cid", items("text").alias("items")).withColumn("n", (F.length("items") / 8).cast("int")))
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("_t1"))
+    if not fits_broadcast(n, 128):
+        named = _sieved(named, wanted)
+    key = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._t1") == F.col("w._t1"))
+    found = named.alias("d").join(small(wanted, n, 128).alias("w"), key).select("w.cid", "d.text").dropDuplicates(["cid"])
+    return cut(found.select("cid", described("text").alias("_s")).select("cid", F.size("_s.items").alias("n"), "_s.items", *(F.col("_s.odd")[i].alias(k) for i, k in enumerate(ODD))))
+
+
+def _unresolved(forest: Forest, members: DataFrame) -> DataFrame:
+    """(node, cid, lab, hlab, n, rest): members of the nodes of several roots, with their own root, the root that most bear, the node's members and those of other roots."""
+    named = forest.named(members.select("node", "cid"), "cid", "lab")
+    per = named.groupBy("node", "lab").agg(F.count("*").alias("m"))
+    state = per.groupBy("node").agg(F.max(F.struct("m", "lab")).alias("t"), F.sum("m").alias("n")).where(F.col("n") > F.col("t.m"))
+    state = cut(state.select("node", F.col("t.lab").alias("hlab"), "n", (F.col("n") - F.col("t.m")).alias("rest")))
+    return cut(named.join(small(state, state.count(), 96), "node"))
 
 
 def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> Forest:
@@ -364,10 +412,9 @@ def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> Forest:
     depth = first_depth(n_classes)
     start = roots(trees_for(spec.threshold, depth), depth)
     branch = children(children_for(spec.threshold))
-    facts = lambda p: small(classes, n_classes, 64).select(F.col("cid").alias(p), F.col("n_shingles").alias(f"{p}n"), *(F.col(k).alias(f"{p}{k}") for k in SKETCH))
-    members = cut(classes.select("cid", F.explode(start("sig")).alias("node")))
-    forest, sets, tested = Forest(), None, None
-    reach = 1 - spec.threshold + 1e-9
+    members = classes.select("cid", F.explode(start("sig")).alias("node"))  # computed twice rather than written
+    forest, sets, tested, met, n_met = Forest(), None, None, None, 0
+    facts = lambda p: small(met.select(*(F.col(c).alias(f"{p}{c}" if c != "cid" else p) for c in ("cid", "n", *SKETCH, *ODD))), n_met, 512)
 
     def confirmed(pairs: DataFrame) -> None:
         nonlocal tested
@@ -379,41 +426,40 @@ def join_classes(classes: DataFrame, docs: DataFrame, spec: Spec) -> Forest:
             forest.grow(links)
 
     for level in range(LEVELS + 1):
-        named = forest.named(members, "cid", "lab")
-        nodes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1")
-        members = cut(named.select("node", "cid").join(cut(nodes.select("node", "size")), "node"))
+        nodes = cut(members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node"))
+        members = cut(members.join(small(nodes, nodes.count(), 64), "node").select("node", "cid"))
         if members.isEmpty():
             break
         if sets is None:
-            sets = _sets_of(docs, cut(classes.join(members.select("cid").distinct(), "cid").select("cid", "doc_id", "_t1")), spec.k)
-        # a node's head is the member that meets most others over all nodes, so likely the one the others were edited from
-        central = cut(members.groupBy("cid").agg(F.sum("size").alias("met")))
-        heads = members.join(central, "cid").groupBy("node").agg(F.max(F.struct("met", "cid")).alias("h"))
-        members = cut(members.select("node", "cid").join(cut(heads.select("node", F.col("h.cid").alias("head"))), "node"))
-        stars = _ordered(members.select(F.col("cid").alias("a"), F.col("head").alias("b")))
-        confirmed(stars.join(facts("a"), "a").join(facts("b"), "b").where(_close(spec, "a", "b")).select("a", "b"))
-        # nodes that are not of one root now: compared exhaustively if few are outside the largest, else branched on
-        named = cut(forest.named(members, "cid", "lab"))
-        per = named.groupBy("node", "lab").agg(F.count("*").alias("m"))
-        state = per.groupBy("node").agg(F.max(F.struct("m", "lab")).alias("t"), F.sum("m").alias("n")).where(F.col("n") > F.col("t.m"))
-        named = named.join(cut(state.select("node", F.col("t.lab").alias("hlab"), (F.col("n") - F.col("t.m")).alias("rest"))), "node")
-        # distances to the head, where they were measured: two members whose distances differ by more than a link's are no link
-        ends = [F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")]
-        known = tested.select("a", "b", "far")
-        members = cut(named.select("*", *ends).join(known, ["a", "b"], "left").select("node", "cid", "lab", "hlab", "rest", F.when(F.col("cid") == F.col("head"), 0.0).otherwise(F.col("far")).alias("far")))
+            ids = cut(members.select("cid").distinct())
+            of = classes.join(small(ids, ids.count(), 64), "cid")
+            sets = _sets_of(docs, cut(of.select("cid", "doc_id", "_t1")), spec.k)
+            met = cut(sets.select("cid", "n", *ODD).join(of.select("cid", "sig", *SKETCH), "cid"))
+            n_met = met.count()
+        open_, rest = _unresolved(forest, members), None
+        while True:
+            # a node's head is the member that meets most others over all nodes, so likely the one the others were edited from
+            central = open_.groupBy("cid").agg(F.sum("n").alias("met"))
+            outside = open_.where("lab <> hlab").join(central, "cid")
+            heads = outside.groupBy("node").agg(F.max(F.struct("met", "cid")).alias("h")).select("node", F.col("h.cid").alias("head"))
+            stars = _ordered(open_.join(heads, "node").select(F.col("cid").alias("a"), F.col("head").alias("b")))
+            confirmed(stars.join(facts("a"), "a").join(facts("b"), "b").where(_close(spec, "a", "b")).select("a", "b"))
+            open_ = _unresolved(forest, open_)
+            before, rest = rest, open_.where(F.col("rest") > MANY).agg(F.coalesce(F.sum(F.when(F.col("lab") != F.col("hlab"), 1)), F.lit(0)).alias("n")).first()["n"]
+            if not rest or before is not None and rest > (1 - GAIN) * before:
+                break
         last = level == LEVELS
-        now = members if last else members.where(F.col("rest") <= SMALL_NODE)
-        one = now.where("lab <> hlab").select("node", F.col("cid").alias("a"), F.col("lab").alias("la"), F.col("far").alias("fa")).join(facts("a"), "a")
-        two = now.select("node", F.col("cid").alias("b"), F.col("lab").alias("lb"), F.col("far").alias("fb")).join(facts("b"), "b")
-        near = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= reach, F.lit(True))
-        across = one.join(two, "node").where((F.col("la") != F.col("lb")) & near & _close(spec, "a", "b")).select("a", "b")
-        confirmed(_ordered(across))
-        large = cut(members.where(F.col("rest") > SMALL_NODE).select("cid", "node"))
+        fits = F.lit(True) if last else F.col("rest") * F.col("n") <= NODE_PAIRS
+        now = open_.where(fits)
+        one = now.where("lab <> hlab").select("node", F.col("cid").alias("a"), F.col("lab").alias("la"), "hlab").join(facts("a"), "a")
+        two = now.select("node", F.col("cid").alias("b"), F.col("lab").alias("lb")).join(facts("b"), "b")
+        # a pair of two members outside the largest root comes once
+        across = one.join(two, "node").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("hlab")) | (F.col("a") < F.col("b"))) & _close(spec, "a", "b"))
+        confirmed(_ordered(across.select("a", "b")))
+        large = cut(open_.where(~fits).select("cid", "node"))
         if last or large.isEmpty():
             break
-        ids = large.select("cid").distinct()
-        sigs = classes.select("cid", "sig").join(small(ids, ids.count(), 16), "cid")
-        members = cut(large.join(sigs, "cid").select("cid", F.explode(branch("node", "sig")).alias("node")))
+        members = large.join(small(met.select("cid", "sig"), n_met, 1024), "cid").select("cid", F.explode(branch("node", "sig")).alias("node"))
     return forest
 
 

@@ -308,8 +308,7 @@ def test_chains_and_large_groups(spark):
 
 def test_nodes_that_do_not_shrink_branch_on(spark, monkeypatch):
     """With tiny nodes everything goes through branching and the last level's exhaustive comparison."""
-    monkeypatch.setattr(neardup, "SMALL_NODE", 1)
-    monkeypatch.setattr(neardup, "LEVELS", 2)
+    monkeypatch.setattr(neardup, "NODE_PAIRS", 1)
     texts = {}
     for g in range(6):
         base = story(g, 200).split()
@@ -322,6 +321,69 @@ def test_nodes_that_do_not_shrink_branch_on(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in by_id(neardup.op8(docs)).items()} == brute.components(texts.items(), 3, 100, 85)
 
 
+def dense(n, seed, words=180, most=24):
+    """n edited copies of one text, most of which are near the threshold to each other."""
+    import random
+
+    rng, base = random.Random(seed), story(seed, words).split()
+    texts = {}
+    for i in range(n):
+        w = list(base)
+        for k in range(rng.randrange(most)):
+            w[rng.randrange(words)] = f"e{i}.{k}"
+        texts[i] = " ".join(w)
+    return texts
+
+
+@pytest.mark.parametrize(("n", "spec"), [(60, neardup.Spec(k=3, num=100, den=85)), (350, neardup.Spec(k=5, num=100, den=80))])
+def test_links_at_the_threshold_in_a_dense_group(spark, monkeypatch, n, spec):
+    """Branching through all levels loses none: components equal brute force, and so does the number of documents outside them."""
+    monkeypatch.setattr(neardup, "NODE_PAIRS", 500)
+    monkeypatch.setattr(neardup, "MANY", 4)
+    texts = dense(n, n)
+    want = brute.components(texts.items(), spec.k, spec.num, spec.den)
+    assert 1 < len(set(want.values())) < n
+    docs = spark.createDataFrame(rows(*((i, t, "en", "a") for i, t in texts.items())), SCHEMA)
+    assert {i: r["component_id"] for i, r in by_id(neardup.with_components(docs, spec)).items()} == want
+
+
+def test_sets_are_found_by_shuffled_joins(spark, monkeypatch):
+    """Beyond the broadcast bound the sieve keeps what is wanted and all joins shuffle."""
+    from siloflow.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    texts = dense(40, 3) | {100 + i: story(i, 60) for i in range(30)}
+    docs = spark.createDataFrame(rows(*((i, t, "en", "a") for i, t in texts.items()), (None, story(3, 60), "en", "a")), SCHEMA)
+    named = docs.select("doc_id", "text", neardup.F.xxhash64("text").alias("_t1"))
+    wanted = named.where("doc_id < 20 OR doc_id IS NULL").select("doc_id", "_t1")
+    assert {r["doc_id"] for r in neardup._sieved(named, wanted).collect()} == {*range(20), None}
+    got = by_id(neardup.op8(docs.where("doc_id is not null")))
+    assert {i: r["component_id"] for i, r in got.items()} == brute.components(texts.items(), 3, 100, 85)
+
+
+@pytest.mark.parametrize("spec", [neardup.Spec(k=3, num=100, den=85), neardup.Spec(k=5, num=100, den=80)])
+@pytest.mark.parametrize("n", [30, 300, 3000, 30_000])
+def test_sketches_keep_pairs_at_the_threshold(spark, spec, n):
+    """Sets that are just linked pass the join's condition, sets far below the threshold do not unless they are very large."""
+    import numpy as np
+
+    rng, met = np.random.default_rng(n), []
+    share = round(n * 2 * spec.den / (spec.num + spec.den))
+    for near in (True, False):
+        for _ in range(20):
+            both = rng.integers(0, 2**63, share + 1 if near else round(n * 0.6), dtype=np.uint64)
+            pair = [np.unique(np.append(both, rng.integers(0, 2**63, n - len(both), dtype=np.uint64))) for _ in "ab"]
+            odd = [neardup.odd_sketch(x) for x in pair]
+            differ = sum(int(x).bit_count() for x in (odd[0] ^ odd[1]).view(np.uint64))
+            assert differ <= len(np.setxor1d(*pair))
+            sides = [[len(x), *neardup.sketch(neardup.signature(x)), *map(int, o)] for x, o in zip(pair, odd, strict=True)]
+            met.append((near, *sides[0], *sides[1]))
+    names = [f"{side}{c}" for side in "ab" for c in ("n", *neardup.SKETCH, *neardup.ODD)]
+    told = spark.createDataFrame(met, "near boolean, " + ", ".join(f"{c} long" for c in names))
+    passed = {r["near"]: r["n"] for r in told.where(neardup._close(spec, "a", "b")).groupBy("near").agg(neardup.F.count("*").alias("n")).collect()}
+    assert passed[True] == 20 and (passed.get(False, 0) == 0 or n > 3000)
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
 def test_trees_find_pairs_at_the_threshold_through_all_levels(threshold):
     """The chance to miss, worked out anew from what the join is run with."""
