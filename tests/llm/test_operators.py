@@ -438,14 +438,73 @@ def test_article_without_boilerplate():
     ]
 
 
-def test_pages_of_the_driver(spark, sf_dir):
+def article_of(html):
+    """The driver's article, by its markup."""
     import re
     from html import unescape
 
-    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
-        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
-        parts = [" ".join(unescape(re.sub(r"</?b>|<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
-        assert htmltext.main_text(r["html"]) == "\n".join(x for x in parts if x)
+    inner = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    parts = [" ".join(unescape(re.sub(r"</?b>|<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n".join(x for x in parts if x)
+
+
+def pages(spark, sf_dir):
+    return [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+
+
+def test_pages_of_the_driver(spark, sf_dir):
+    for html in pages(spark, sf_dir):
+        assert htmltext.main_text(html) == article_of(html)
+
+
+def unnamed(html):
+    return html.replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def test_pages_without_an_article_element(spark, sf_dir):
+    """The ratios find the article when it is a div like others."""
+    told = pages(spark, sf_dir)
+    assert sum(htmltext.main_text(unnamed(x)) == article_of(x) for x in told) >= 0.99 * len(told)
+    odd = [unnamed(x).replace('class="ad"', 'class="q7"') for x in told]
+    assert sum(htmltext.main_text(x) == article_of(y) for x, y in zip(odd, told, strict=True)) >= 0.85 * len(told)
+
+
+def test_scores_decide(spark, sf_dir, monkeypatch):
+    told = pages(spark, sf_dir)
+    monkeypatch.setattr(htmltext, "path_scores", lambda blocks: {x.owner.path: 1.0 for x in blocks})
+    assert sum(htmltext.main_text(unnamed(x)) == article_of(x) for x in told) < 0.7 * len(told)
+
+
+ONE = "The committee met on Tuesday to discuss the plan, which had been delayed twice. Members agreed, after some debate, that work should start in May."
+TWO = "Critics said the costs were too high, and that other options had not been weighed. A final vote is due next month."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<main><div class="side-by-side"><p>{ONE}<p>{TWO}</div></main>', [ONE, TWO]),
+        (f'<body><div><h1>T</h1><p>{ONE}</p><p class="notice">{TWO}</p><p class="ad-hoc">{ONE}</p><div class="tags-explained"><p>{TWO}</div></div></body>', ["T", ONE, TWO, ONE, TWO]),
+        (f'<body><header><h1>Site</h1></header><article><header><h1>Head</h1><p class="byline">By Ann</header><p>{ONE}<h2>Sub</h2><ul><li>one<li>two</ul><table><tr><td>1<td>2</table><div class="share"><a>Share</a> it</div></article><section class="comments"><p>{TWO}<p>{ONE}</section><aside><p>{ONE}</aside></body>', ["Head", "By Ann", ONE, "Sub", "one", "two", "1", "2"]),
+        (f'<body><div id="content"><h1>Head</h1><p>{ONE}<p>{TWO}</div><div id="comments"><ol class="comment-list"><li><p>{ONE}<p>{TWO}<li><p>{ONE}</ol></div><div id="cookie-banner">Cookies. {ONE}</div></body>', ["Head", ONE, TWO]),
+        (f"<body><p>{ONE} <script>x</script><b hidden>no</b>on <label>no</label>it<p>{TWO}</body>", [f"{ONE} on it", TWO]),
+        (f"<body><form><div><h1>Head</h1><p>{ONE}<p>{TWO}<label>Name</label><input><button>Go</button></div></form></body>", ["Head", ONE, TWO]),
+        (f'<body><article><h1>A</h1><p>{ONE}</article><article class="comment"><p>{TWO}<p>{TWO}</article></body>', ["A", ONE]),
+    ],
+)
+def test_marks_do_not_decide_alone(html, want):
+    assert htmltext.main_text(html).split("\n") == want
+
+
+@pytest.mark.parametrize("name", ["div", "b", "p", "li"])
+def test_depth_costs_in_proportion(name):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        assert htmltext.main_text(f"<{name}>x" * n + f"</{name}>" * n + "</q>" * n).replace("\n", "") == "x" * n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
 
 
 @pytest.mark.parametrize("html", ["<p", "<p a='", "<<<<", "<!-- open", "</div></p>", "<script>x", "&#xFFFFFFFF; &#0;", "<p>" * 2000 + "x", "<div>" * 2000 + "x", '<a b="' + "<" * 3000])
