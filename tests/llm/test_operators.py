@@ -101,6 +101,29 @@ def test_secret_base_equals_brute_force(spark, sf_dir, texts):
         ("seed = 'Qm4r8TzK2wVn'\nauth_token = seed", "Qm4r8TzK2wVn"),
         ("accessKey: 9f8E7d6C5b4A3z2Y", "9f8E7d6C5b4A3z2Y"),
         ("<password>h7Gt5-rE3w2Q</password>", "h7Gt5-rE3w2Q"),
+        ('config["db_password"] = "xK9#mQ2vL8pR"', "xK9#mQ2vL8pR"),
+        ('os.environ["API_TOKEN"]="xK9#mQ2vL8pR"', "xK9#mQ2vL8pR"),
+        ("settings[db_pwd] = 'xK9#mQ2vL8pR';", "xK9#mQ2vL8pR"),
+        ('signing_secret = """xK9#mQ2vL8pR\\n"""', "xK9#mQ2vL8pR\\n"),
+        ('db_pwd = (\n    "xK9#mQ2v"\n    "L8pR77aB"\n)', "L8pR77aB"),
+        ('db_pwd = ("xK9#mQ2v" +\n  r"L8pR77aB")', "xK9#mQ2v"),
+        ("stringData:\n  signing_key: |\n    xK9#mQ2vL8pR\n    77aBqLw0Zx81\n  other: 1", "77aBqLw0Zx81"),
+        ('set("db_pwd", "xK9#mQ2vL8pR")', "xK9#mQ2vL8pR"),
+        ("define('DB_PASSPHRASE', 'xK9#mQ2vL8pR');", "xK9#mQ2vL8pR"),
+        ('<add key="db_pwd" value="xK9#mQ2vL8pR"/>', "xK9#mQ2vL8pR"),
+        ('<property name="db.pwd">xK9#mQ2vL8pR</property>', "xK9#mQ2vL8pR"),
+        ('salt = "xK9#mQ2v"\nauth_token = f"{salt}L8pR77aB"', "xK9#mQ2v"),
+        ('salt = "xK9#mQ2v"\nauth_token = f"{salt}L8pR77aB"', "L8pR77aB"),
+        ("const authToken = `xK9#mQ2vL8pR`;", "xK9#mQ2vL8pR"),
+        ('db_pwd: str = "xK9#mQ2vL8pR"', "xK9#mQ2vL8pR"),
+        ('db_pwd: Optional[str] = "xK9#mQ2vL8pR"', "xK9#mQ2vL8pR"),
+        ('{"auth": {"client_secret": "xK9#mQ2vL8pR"}}', "xK9#mQ2vL8pR"),
+        ("body = '{\"db_pwd\": \"xK9#mQ2vL8pR\"}'", "xK9#mQ2vL8pR"),
+        ('auth_tokens = ["a1", "xK9#mQ2vL8pR"]', "xK9#mQ2vL8pR"),
+        ('db_pwd = bytes("xK9#mQ2vL8pR")', "xK9#mQ2vL8pR"),
+        ('db_pwd =\n    "xK9#mQ2vL8pR"', "xK9#mQ2vL8pR"),
+        ("it's so: db_pwd = 'xK9#mQ2vL8pR'", "xK9#mQ2vL8pR"),
+        ('x = "open\ndb_pwd = "xK9#mQ2vL8pR"', "xK9#mQ2vL8pR"),
     ],
 )
 def test_literals_that_reach_sensitive_names(text, found):
@@ -123,7 +146,7 @@ def test_constants_that_double_stay_small():
     assert secretscan.lexed("a = 'xxxx'\nb = a + a\nc = b + b + b + b + b + b\nauth_token = c") == []
 
 
-@pytest.mark.parametrize("text", ['title = "A plain long title"', 'password = "changeme"', "token_count = 12345678", "note: the password was lost", "ratio = a / b"])
+@pytest.mark.parametrize("text", ['title = "A plain long title"', 'password = "changeme"', "token_count = 12345678", "note: the password was lost", "ratio = a / b", '# db_pwd = "xK9#mQ2vL8pR"', '// db_pwd = "xK9#mQ2vL8pR"', '/* db_pwd = "xK9#mQ2vL8pR" */', 'db_pwd = os.getenv("DB_PWD_NAME_1")', 'if db_pwd == "xK9#mQ2vL8pR":', 'said = "my db_pwd = none of yours"'])
 def test_harmless_assignments(text):
     assert secretscan.lexed(text) == []
 
@@ -134,7 +157,19 @@ def test_base_spans_of_odd_texts():
 
 
 def test_redaction():
-    assert secretscan.redact_text('a token = "908038b7daaf91e730d2f64001c52934d43d9336" b') == "a [SECRET]\" b"
+    assert secretscan.redact_text('a token = "908038b7daaf91e730d2f64001c52934d43d9336" b') == 'a token = "[SECRET]" b'
+
+
+@pytest.mark.parametrize("piece", ['"', "'", '"""', "/*", "<!--", "a=(", "a=[", "a: |\n  x\n", "<a ", '<a b="', "f'{", "x=1+", "((", "a[", "`", "//", "=:", "f(' "])
+def test_lexing_is_linear(piece):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        secretscan.lexed("token_a = " + piece * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 0.5
 
 
 # ---- 4
