@@ -206,10 +206,68 @@ def test_an_unnamed_file_is_never_read(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
     store = compaction.Store(spark, compaction.scratch(spark), docs.schema)
     store.append(docs)
-    docs.write.mode("append").parquet(f"{store.root}/data/a00000001")
+    docs.write.mode("append").parquet(f"{store.root}/data/{store._names('data')[0]}")
     assert store.snapshot().count() == 20
 
 
+def same(a, b):
+    return sorted(map(repr, (tuple(r) for r in a.collect()))) == sorted(map(repr, (tuple(r) for r in b.collect())))
+
+
+def test_old_versions_stay_whole_until_they_expire(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    store = compaction.Store(spark, compaction.scratch(spark), docs.schema, small=20_000, target=100_000)
+    first, rest = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")
+    store.append(first)
+    store.append(rest)
+    assert store.compact() > 2
+    assert same(store.snapshot(1).select(*docs.columns), first) and same(store.snapshot(2).select(*docs.columns), docs) and same(store.snapshot().select(*docs.columns), docs)
+    last = store.version()
+    assert store.expire(keep=1) == list(range(1, last)) and same(store.snapshot().select(*docs.columns), docs)
+    with pytest.raises(Exception, match="v00000001"):
+        store.snapshot(1)
+    lost = store.manifest().first()["path"]
+    store._fs().delete(store._path("data", lost), False)
+    with pytest.raises(Exception, match="(?i)not.exist|not found|rows"):
+        store.snapshot().count()
+
+
+def test_a_writer_that_dies_or_is_late_leaves_the_store_usable(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    store = compaction.Store(spark, compaction.scratch(spark), docs.schema)
+
+    def dies(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(compaction.Store, "_commit", dies)
+        store.append(docs)
+    assert store.version() == 0 and store.append(docs) == 1 and store.snapshot().count() == 30
+    late, commit = compaction.Store(spark, store.root, docs.schema), compaction.Store._commit
+
+    def overtaken(self, files, base):  # the other writer commits first
+        with monkeypatch.context() as inner:
+            inner.setattr(compaction.Store, "_commit", commit)
+            store.append(docs)
+        return commit(self, files, base)
+
+    with monkeypatch.context() as m, pytest.raises(compaction.Conflict):
+        m.setattr(compaction.Store, "_commit", overtaken)
+        late.append(docs)
+    assert store.version() == 2 and store.snapshot().count() == 60
+    assert len(store._names("data")) == 4 and store.expire(keep=2, leftover_s=0) == [] and len(store._names("data")) == 2
+
+
+def test_large_documents_are_shards_of_their_own(spark):
+    docs = spark.createDataFrame(rows(*((i, "x" * (400_000 if i in (3, 40) else 500), "en", "a") for i in range(60))), SCHEMA).repartition(2)
+    store = compaction.Store(spark, compaction.scratch(spark), docs.schema, small=10_000, target=100_000)
+    store.append(docs)
+    store.compact()
+    held = store.manifest().collect()
+    assert sorted(r["rows"] for r in held if r["bytes"] >= 400_000) == [1, 1] and sum(r["rows"] for r in held) == 60
+    assert all(r["bytes"] <= 150_000 for r in held if r["rows"] > 1)
+
+
 # ---- 5
 
 
