@@ -110,6 +110,22 @@ def small(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(n_rows, row_bytes) else df
 
 
+#: Bits of a sieve, and of each of its rows: a table of 16 MB at most, whatever it is made of.
+SIEVE_BITS, SIEVE_ROW = 1 << 27, 1 << 15
+
+
+def sieved(df: DataFrame, wanted: DataFrame, key: Callable[[], Column]) -> DataFrame:
+    """The rows of df whose key, a hash, falls on a bit that a key of wanted sets: all that can meet, and few others if wanted has fewer rows than there are bits.
+
+    It stands before a join that shuffles, so that little of a large side is moved.
+    """
+    at = lambda x: x.withColumn("_at", F.pmod(key(), F.lit(SIEVE_BITS))).withColumn("_block", F.floor(F.col("_at") / SIEVE_ROW)).withColumn("_bit", F.col("_at") % SIEVE_ROW)
+    sieve = at(wanted).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) > 0
+    return at(df).join(F.broadcast(sieve), "_block").where(is_set).select(*df.columns)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df

@@ -8,9 +8,10 @@ of plain MinHash signatures does not. An item is a candidate when so many of its
 pair at the threshold is missed with a chance below MISS. Documents with a candidate are read again
 and verified: the item's shingles that occur in the document, counted on the words themselves.
 
-The sketch table meets the documents' shingles inside the scan stage while its counted size stays
-below the broadcast bound and by a shuffled join beyond it. What is shuffled is one row for each
-hit, pre-aggregated.
+All runs of words, of every length that items have, come from one pass over a text. The sketch table meets them
+inside the scan stage while its counted size stays below the broadcast bound, and then on the words. Beyond it the join is shuffled:
+of a document only its key and two hashes of each run move, and of these only those that a sieve of the sketch table's
+hashes of fixed size lets through. What is shuffled then is one row for each hit, pre-aggregated.
 
 Edge cases: null or empty texts, on either side, match nothing. An item with fewer than K words is
 one shingle of all its words. Repeated item rows count once; repeated documents give one result row
@@ -20,13 +21,12 @@ Empty tables give empty results. Extra columns are carried by ``clean`` and igno
 
 from __future__ import annotations
 
-from functools import reduce
 from math import ceil, comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siloflow.llm.common import cut, lower_ascii, small, text_key, tidy, words
+from siloflow.llm.common import cut, fits_broadcast, lower_ascii, sieved, small, text_key, tidy, words
 
 K = 5
 THRESHOLD = 0.8
@@ -46,10 +46,6 @@ def least_hits(slots: int, threshold: float, miss: float = MISS) -> int:
     return max(r, 1)
 
 
-def _shingle(w: Column, i: Column, k: int) -> list[Column]:
-    return [F.get(w, i + j) for j in range(k)]
-
-
 def item_shingles(bench: DataFrame, k: int = K) -> DataFrame:
     """(item_id, _t1, _t2, k, size, shingle): the distinct shingles of each distinct item, as words joined by blanks."""
     w = words(lower_ascii(F.col("text")))
@@ -73,24 +69,42 @@ def sketches(shingles: DataFrame, threshold: float = THRESHOLD, slots: int = SLO
     return few.unionByName(least.withColumn("need", F.lit(least_hits(slots, threshold))))
 
 
-def doc_shingles(docs: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """(keys, n, _w, _i, _h): every run of k words of every text, within the scan stage."""
-    cut_up = docs.select(*keys, words(lower_ascii(F.col("text"))).alias("_w")).where(F.size("_w") >= k)
-    placed = cut_up.select(*keys, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - k)).alias("_i"))
-    return placed.withColumn("_h", F.xxhash64(*_shingle(F.col("_w"), F.col("_i"), k)))
+def doc_shingles(docs: DataFrame, keys: list[str], ks: list[int]) -> DataFrame:
+    """(keys, _w, _i, k, _h): every run of k words of every text, for all ks, within the scan stage."""
+    cut_up = docs.select(*keys, words(lower_ascii(F.col("text"))).alias("_w")).where(F.size("_w") >= min(ks))
+    if len(ks) == 1:
+        placed = cut_up.select(*keys, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - ks[0])).alias("_i"), F.lit(ks[0]).alias("k"))
+    else:
+        placed = cut_up.select(*keys, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - min(ks))).alias("_i"))
+        placed = placed.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k")).where(F.col("_i") + F.col("k") <= F.size("_w"))
+    return placed.withColumn("_h", F.xxhash64("k", *_run(ks)))
+
 
+def _run(ks: list[int]) -> list[Column]:
+    """The k words from _i on; null beyond them."""
+    return [F.get("_w", F.col("_i") + j) if j < min(ks) else F.when(F.col("k") > j, F.get("_w", F.col("_i") + j)) for j in range(max(ks))]
 
-def _meet(docs: DataFrame, table: DataFrame, n_rows: int, ks: list[int], threshold: float) -> DataFrame:
-    """The table's shingles (k, size, shingle, ...) that occur in each document, once for each occurrence."""
-    met = []
-    for k in ks:
-        own = table.where(F.col("k") == k)
-        said = F.split("shingle", " ")
-        own = own.withColumn("_h", F.xxhash64(*(F.get(said, F.lit(j)) for j in range(k))))
-        same = F.concat_ws(" ", *_shingle(F.col("_w"), F.col("_i"), k)) == F.col("shingle")
-        large = F.size("_w") - (k - 1) >= F.col("size") * threshold - 1e-9
-        met.append(doc_shingles(docs, DOC, k).join(small(own, n_rows, 200), "_h").where(same & large).select(*DOC, *(c for c in own.columns if c != "_h")))
-    return reduce(DataFrame.unionByName, met)
+
+def _meet(docs: DataFrame, table: DataFrame, n_rows: int, ks: list[int], threshold: float, exact: bool) -> DataFrame:
+    """The table's shingles (k, size, shingle, ...) that occur in each document, once for each occurrence.
+
+    A shuffled join that need not be exact compares 128 bits of hashes.
+    """
+    said = F.split("shingle", " ")
+    parts = [F.get(said, F.lit(j)) for j in range(max(ks))]
+    own = table.withColumn("_h", F.xxhash64("k", *parts))
+    runs, phrase = doc_shingles(docs, DOC, ks), F.concat_ws(" ", *_run(ks))
+    large = F.col("_n") - (F.col("k") - 1) >= F.col("size") * threshold - 1e-9
+    if fits_broadcast(n_rows, 256):
+        met = runs.withColumn("_n", F.size("_w")).join(F.broadcast(own), ["k", "_h"]).where((phrase == F.col("shingle")) & large)
+    else:
+        runs = sieved(runs, own, lambda: F.col("_h"))
+        if exact:
+            met = runs.select(*DOC, F.size("_w").alias("_n"), "k", phrase.alias("shingle")).join(own, ["k", "shingle"]).where(large)
+        else:
+            met = runs.select(*DOC, F.size("_w").alias("_n"), "k", "_h", F.xxhash64(F.lit(7), *_run(ks)).alias("_g"))
+            met = met.join(own.withColumn("_g", F.xxhash64(F.lit(7), *parts)), ["k", "_h", "_g"]).where(large)
+    return met.select(*DOC, *table.columns)
 
 
 @tidy
@@ -103,13 +117,13 @@ def search(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, k: i
     docs = docs.where(F.col("text").isNotNull()).select("doc_id", *text_key(F.col("text")), "text")
     item = ["item_id", "_i1", "_i2", "size"]
 
-    hits = _meet(docs, sketch, n_sketch, ks, threshold).groupBy(*DOC, *item, "need", "shingle").agg(F.max("weight").alias("weight"))
+    hits = _meet(docs, sketch, n_sketch, ks, threshold, False).groupBy(*DOC, *item, "need", "shingle").agg(F.max("weight").alias("weight"))
     candidates = hits.groupBy(*DOC, *item, "need").agg(F.sum("weight").alias("hit")).where(F.col("hit") >= F.col("need"))
     candidates = cut(candidates.select(*DOC).distinct())
 
     wanted = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in DOC]
     suspects = docs.alias("d").join(small(candidates, candidates.count(), 64).alias("c"), wanted, "left_semi")
-    shared = _meet(suspects, shingles, n_shingles, ks, threshold).groupBy(*DOC, *item, "shingle").agg(F.lit(1).alias("one"))
+    shared = _meet(suspects, shingles, n_shingles, ks, threshold, True).groupBy(*DOC, *item, "shingle").agg(F.lit(1).alias("one"))
     found = shared.groupBy(*DOC, *item).agg(F.count("*").alias("n_shared"))
     found = found.withColumn("containment", F.col("n_shared") / F.col("size")).where(F.col("n_shared") >= F.col("size") * threshold - 1e-9)
     return found.select(*DOC, "item_id", "n_shared", F.col("size").cast("long").alias("n_shingles"), "containment")

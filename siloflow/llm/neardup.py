@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siloflow.llm.common import cut, fits_broadcast, small, tidy
+from siloflow.llm.common import cut, fits_broadcast, sieved, small, tidy
 
 HASHES = 192
 #: Similarity that unrelated texts stay below; the first look at a node comes after so many values that these rarely meet.
@@ -363,19 +363,6 @@ class Forest:
         self.n = self.roots.count()
 
 
-#: Bits of the sieve that keeps most texts which nobody asked for out of a shuffle: a table of 16 MB at most.
-SIEVE_BITS, SIEVE_BLOCK = 1 << 27, 1 << 15
-
-
-def _sieved(named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of named whose (doc_id, _t1) falls on a bit that a wanted one sets; wanted ones always stay."""
-    at = lambda df: df.withColumn("_at", F.pmod(F.xxhash64("doc_id", "_t1"), F.lit(SIEVE_BITS))).withColumn("_block", F.floor(F.col("_at") / SIEVE_BLOCK)).withColumn("_bit", F.col("_at") % SIEVE_BLOCK)
-    sieve = at(wanted).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) > 0
-    return at(named).join(F.broadcast(sieve), "_block").where(is_set).select(*named.columns)
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cid, n, items, o0 and on): the full sets and odd sketches of the classes whose representative is named in wanted (cid, doc_id, _t1)."""
 
@@ -387,7 +374,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     n = wanted.count()
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("_t1"))
     if not fits_broadcast(n, 128):
-        named = _sieved(named, wanted)
+        named = sieved(named, wanted, lambda: F.xxhash64("doc_id", "_t1"))
     key = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._t1") == F.col("w._t1"))
     found = named.alias("d").join(small(wanted, n, 128).alias("w"), key).select("w.cid", "d.text").dropDuplicates(["cid"])
     return cut(found.select("cid", described("text").alias("_s")).select("cid", F.size("_s.items").alias("n"), "_s.items", *(F.col("_s.odd")[i].alias(k) for i, k in enumerate(ODD))))

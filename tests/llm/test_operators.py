@@ -79,6 +79,19 @@ def test_a_short_item_in_a_long_document_with_an_edit(spark):
     assert [(r["doc_id"], r["n_shared"]) for r in decontam.op2(docs, bench).collect()] == [(1, 51)]
 
 
+def test_shuffled_search_equals_brute_force(spark, monkeypatch, texts):
+    """Beyond the broadcast bound documents are met by hashes and verified on their words."""
+    from siloflow.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    some = dict(sorted(texts.items())[:60]) | {900: story(1, 50) + " tail", 901: "one two", 902: "the one two three four", 903: None}
+    items = [(1, story(1, 50)), (2, "one two"), (3, "three"), (4, some[0][:400] if some[0] else "x y z"), (5, story(9, 30)), (6, None)]
+    docs = spark.createDataFrame(rows(*((i, t, "en", "a") for i, t in some.items())), SCHEMA)
+    got = decontam.op2(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert "BroadcastHashJoin" not in decontam._meet(docs.select("doc_id", *common.text_key(docs["text"]), "text"), decontam.item_shingles(spark.createDataFrame(items, "item_id long, text string")), 10**9, [5], 0.8, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["doc_id"], r["item_id"]): r["n_shared"] for r in got.collect()} == brute.contained(some.items(), items)
+
+
 def test_least_hits():
     assert decontam.least_hits(16, 1.0) == 16 and 1 <= decontam.least_hits(16, 0.8) < 8
 
@@ -449,7 +462,7 @@ def test_sets_are_found_by_shuffled_joins(spark, monkeypatch):
     docs = spark.createDataFrame(rows(*((i, t, "en", "a") for i, t in texts.items()), (None, story(3, 60), "en", "a")), SCHEMA)
     named = docs.select("doc_id", "text", neardup.F.xxhash64("text").alias("_t1"))
     wanted = named.where("doc_id < 20 OR doc_id IS NULL").select("doc_id", "_t1")
-    assert {r["doc_id"] for r in neardup._sieved(named, wanted).collect()} == {*range(20), None}
+    assert {r["doc_id"] for r in common.sieved(named, wanted, lambda: neardup.F.xxhash64("doc_id", "_t1")).collect()} == {*range(20), None}
     got = by_id(neardup.op8(docs.where("doc_id is not null")))
     assert {i: r["component_id"] for i, r in got.items()} == brute.components(texts.items(), 3, 100, 85)
 
