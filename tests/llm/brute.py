@@ -111,3 +111,41 @@ def water_fill(sizes, weights=(5, 2, 1), share=1.5, epochs=2):
         left -= sum(target[s] for s in full)
         open_ -= full
     return target
+
+
+def language_model(labelled, bits=15, smoothing=0.5):
+    """{language: {bucket: log probability}} and the one of unseen buckets, by plain counting of character 1- to 3-grams."""
+    from math import log
+
+    counts = {}
+    for text, lang in labelled:
+        counts.setdefault(lang, Counter()).update(grams(text, bits))
+    counts = {lang: c for lang, c in counts.items() if c}
+    total = {lang: c.total() + smoothing * 2**bits for lang, c in counts.items()}
+    return {lang: ({b: log((n + smoothing) / total[lang]) for b, n in c.items()}, log(smoothing / total[lang])) for lang, c in counts.items()}
+
+
+def grams(text, bits=15):
+    """The hash bucket of every n-gram of up to three characters that starts or ends with a letter; others count as blanks."""
+    mult, mask = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), 0xFFFFFFFF
+    codes = [ord(c) if c.isalpha() else 0x20 for c in (text or "").lower()]
+    for order in (1, 2, 3):
+        for i in range(len(codes) - order + 1):
+            if codes[i] != 0x20 or codes[i + order - 1] != 0x20:
+                h = 0
+                for k in range(order):
+                    h = ((h ^ codes[i + k]) * mult[k]) & mask
+                    h ^= h >> 15
+                yield ((h * mult[0]) & mask) >> (32 - bits)
+
+
+def language(text, model):
+    """(label, posterior) under equal priors."""
+    from math import exp
+
+    if not any(c.isalpha() for c in text or "") or not model:
+        return "und", 0.0
+    n = Counter(grams(text))
+    ll = {lang: sum(m * seen.get(b, unseen) for b, m in n.items()) for lang, (seen, unseen) in model.items()}
+    best = max(sorted(ll), key=ll.get)
+    return best, 1 / sum(exp(x - ll[best]) for x in ll.values())
