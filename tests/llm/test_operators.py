@@ -326,6 +326,17 @@ def test_edited_and_repeated_statements(spark):
     assert got[3]["n_base"] == 3 and got[2]["score"] < 1 == got[1]["score"]
 
 
+def test_whole_texts_in_order(spark):
+    """A licence text with edits is found; its words in another order, or one of its runs many times, are not."""
+    said = max((p for label, p in licenses.STATEMENTS if label == "mit"), key=len).split()
+    edited = said[:8] + ["now"] + said[8:20] + ["some", "new"] + said[20:45] + said[46:]
+    swapped = [w for i in range(0, len(said), 6) for w in said[max(0, len(said) - 6 - i) : len(said) - i]]
+    docs = spark.createDataFrame(rows(*((i, f"{prose(60)} {' '.join(w)} {prose(9)}", "en", "a") for i, w in enumerate([edited, swapped, said[:6] * 20, said]))), SCHEMA)
+    got = by_id(licenses.op5(docs))
+    assert ["mit" in got[i]["labels"].split(",") for i in range(4)] == [True, False, False, True]
+    assert got[3]["score"] == 1.0 > got[0]["score"] > 0.6
+
+
 def test_wordings_compete_at_one_place_only(spark):
     v2 = "licensed under the gnu general public license version 2"
     v3 = "licensed under the gnu general public license, in version 3"
