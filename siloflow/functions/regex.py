@@ -14,16 +14,20 @@ DIALECT = "(?Ud)"
 FOUND = "array<struct<start:int,end:int,text:string>>"
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def _compiled(pattern: str | Column) -> Column:
+    return F.lit(DIALECT + pattern) if isinstance(pattern, str) else F.concat(F.lit(DIALECT), pattern)
+
+
+def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """The text of every match (or of one group of it), in order."""
-    return F.regexp_extract_all(text, F.lit(DIALECT + pattern), F.lit(group))
+    return F.regexp_extract_all(text, _compiled(pattern), F.lit(group))
 
 
-def found(text: Column, pattern: str) -> Column:
+def found(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,text>> of every match, zero-based, end exclusive; null text has none."""
     pairs = F.zip_with(
         matches(text, pattern),
-        F.split(text, DIALECT + pattern, -1),
+        F.split(text, _compiled(pattern), -1),
         lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("m")),
     )
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))

@@ -123,6 +123,11 @@ def concept_pattern(spellings: list[str], abbreviations: list[str]) -> str:
     return rf"(?<![A-Za-z0-9])(?:{'|'.join(every)})(?![A-Za-z0-9])"
 
 
+def mention_pattern(lexicon: dict[str, tuple[list[str], list[str]]]) -> str:
+    """Any mention of a lexicon; what ends clauses is no letter or digit, so notes have what their clauses have."""
+    return rf"(?<![A-Za-z0-9])(?:(?i:{'|'.join(x for spelled, _ in lexicon.values() for x in spelled)})|{'|'.join(x for _, short in lexicon.values() for x in short)})(?![A-Za-z0-9])"
+
+
 def asserted(clause: Column, start: Column, end: Column, drug: bool) -> Column:
     """Whether what stands at a place of a clause is stated as an active fact."""
     before, after = F.substring(clause, F.lit(1), start), F.substring(clause, end + 1, F.length(clause))
@@ -244,8 +249,18 @@ def allergy(clause_array: Column) -> Column:
 
 
 def extract(notes: DataFrame, text: str = "note_text", into: str = "extracted_clinical_data") -> DataFrame:
-    """Add a struct of all nine fields; lists are empty and single values null where nothing is found."""
-    out = notes.withColumn("_n", F.coalesce(F.col(text), F.lit(""))).withColumn("_c", clauses(F.col("_n")))
+    """Add a struct of all nine fields; lists are empty and single values null where nothing is found.
+
+    A note is cut into clauses only if it has a sign of some field that is read by clauses.
+    """
+    signs = {"d": mention_pattern(DIAGNOSES), "m": mention_pattern(MEDICATIONS), "s": SMOKING_TOPIC, "a": ALLERGY}
+    out = notes.withColumn("_n", F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn("_g", F.struct(*(has(F.col("_n"), p).alias(k) for k, p in signs.items()), has(F.col("_n"), r"\d").alias("n")))
+    seen = lambda k: F.col("_g")[k]
+    none = F.array().cast("array<string>")
+    out = out.withColumn("_c", F.when(seen("d") | seen("m") | seen("s") | seen("a"), clauses(F.col("_n"))).otherwise(none))
     n, c = F.col("_n"), F.col("_c")
-    values = (diagnoses(n, c), medications(c), heart_rate(n), systolic(n), creatinine(n), hemoglobin(n), ejection_fraction(n), smoking(c), allergy(c))
-    return out.withColumn(into, F.struct(*(v.alias(k) for k, v in zip(FIELDS, values, strict=True)))).drop("_n", "_c")
+    listed = (F.when(seen("d"), diagnoses(n, c)).otherwise(none), F.when(seen("m"), medications(c)).otherwise(none))
+    measured = [F.when(seen("n"), f(n)) for f in (heart_rate, systolic, creatinine, hemoglobin, ejection_fraction)]
+    values = (*listed, *measured, F.when(seen("s"), smoking(c)), F.when(seen("a"), allergy(c)))
+    return out.withColumn(into, F.struct(*(v.alias(k) for k, v in zip(FIELDS, values, strict=True)))).drop("_n", "_g", "_c")

@@ -11,6 +11,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
         .appName("siloflow")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
