@@ -1,15 +1,15 @@
 """Logistic models over sites: local, federated-averaged and pooled, many experiments at once.
 
-An experiment is a cell; all cells advance one round in one Spark job, keyed by (cell, site, block). What
-leaves a group is an aggregate: weighted parameters, loss sums, moments. Mini-batch descent depends on order, so
-it runs in an Arrow function; a site's rows are cut into blocks of at most BLOCK rows, whose models are
-averaged by rows, so no task holds more than a block however large the site is. Full-batch
+An experiment is a cell; all cells advance one round in one Spark job, keyed by (cell, site). What
+leaves a site is an aggregate: weighted parameters, loss sums, moments. Mini-batch descent depends on order, each step on the one before, so
+a site's rows pass through one task as a sorted stream of Arrow batches: an epoch's order is that of a hash of
+the row, the epoch and the seed, sorting spills to disk, and no more than a batch is in memory, however large the site is. The steps are the same at every size. Full-batch
 steps, objectives, clipped sums and the Newton optimum are plain aggregates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -23,7 +23,6 @@ from siloflow.operators import metrics as M
 from siloflow.privacy import accounting
 from siloflow.privacy.secagg import Aggregator, Site
 
-BLOCK = 50_000
 #: What a site may be asked for.
 ALLOWED = ("moments", "train", "loss")
 
@@ -105,23 +104,51 @@ def optimum(rows: DataFrame, names: list[str], y: str, l2: float, steps: int = 3
 # ---- local training
 
 
+class Descent:
+    """Epochs of mini-batch descent over rows that come in pieces; with noise, one full-batch step of clipped gradients an epoch.
+
+    A batch's gradient is summed up as its rows come, so a batch may be larger than a piece.
+    """
+
+    def __init__(self, theta: np.ndarray, cfg: Config, rng: np.random.Generator, noise: accounting.Noise | None = None):
+        self.theta, self.start, self.cfg, self.rng, self.noise = theta.copy(), theta.copy(), cfg, rng, noise
+        self.free = np.array([1.0] * (len(theta) - 1) + [0.0])
+        self.total, self.n = np.zeros(len(theta)), 0
+
+    def feed(self, x: np.ndarray, y: np.ndarray) -> None:
+        x1 = np.column_stack([x, np.ones(len(y))])
+        at = 0
+        while at < len(y):
+            end = len(y) if self.noise else min(len(y), at + self.cfg.batch - self.n)
+            z = np.clip(x1[at:end] @ self.theta, -500, 500)
+            g = (1 / (1 + np.exp(-z)) - y[at:end])[:, None] * x1[at:end]
+            if self.noise:
+                g /= np.maximum(1.0, np.linalg.norm(g, axis=1, keepdims=True) / self.noise.clip)
+            self.total += g.sum(axis=0)
+            self.n += end - at
+            at = end
+            if not self.noise and self.n == self.cfg.batch:
+                self._step()
+
+    def end_epoch(self) -> None:
+        if self.n:
+            self._step()
+
+    def _step(self) -> None:
+        if self.noise:
+            self.total += self.rng.normal(0.0, self.noise.multiplier * self.noise.clip, len(self.theta))
+        self.theta -= self.cfg.rate * (self.total / self.n + self.cfg.l2 * self.free * self.theta + self.cfg.prox * (self.theta - self.start))
+        self.total, self.n = np.zeros(len(self.theta)), 0
+
+
 def descend(theta: np.ndarray, x: np.ndarray, y: np.ndarray, cfg: Config, rng: np.random.Generator, noise: accounting.Noise | None = None) -> np.ndarray:
-    """Epochs of mini-batch descent; with noise, full-batch steps of clipped gradients."""
-    theta, start = theta.copy(), theta.copy()
-    x1 = np.column_stack([x, np.ones(len(y))])
-    free = np.array([1.0] * x.shape[1] + [0.0])
-    for _ in range(cfg.epochs if len(y) else 0):
-        parts = [np.arange(len(y))] if noise else np.split(p := rng.permutation(len(y)), range(cfg.batch, len(p), cfg.batch))
-        for rows in parts:
-            z = np.clip(x1[rows] @ theta, -500, 500)
-            g = (1 / (1 + np.exp(-z)) - y[rows])[:, None] * x1[rows]
-            if noise:
-                g /= np.maximum(1.0, np.linalg.norm(g, axis=1, keepdims=True) / noise.clip)
-                total = g.sum(axis=0) + rng.normal(0.0, noise.multiplier * noise.clip, len(theta))
-            else:
-                total = g.sum(axis=0)
-            theta -= cfg.rate * (total / len(rows) + cfg.l2 * free * theta + cfg.prox * (theta - start))
-    return theta
+    """All epochs over rows in memory, in an order drawn anew for each."""
+    run = Descent(theta, cfg, rng, noise)
+    for _ in range(cfg.epochs):
+        order = rng.permutation(len(y))
+        run.feed(x[order], y[order])
+        run.end_epoch()
+    return run.theta
 
 
 def start_theta(seed: int, d: int) -> np.ndarray:
@@ -140,40 +167,46 @@ class Cell:
     history: list[dict] = field(default_factory=list)
 
 
-def blocks(rows: DataFrame, site: str, row_id: str) -> DataFrame:
-    """Add _block: sites are cut by a hash of the row so that blocks hold about BLOCK rows at most."""
-    sizes = rows.groupBy(site).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("_blocks"))
-    named = rows.join(sizes, site)
-    return named.withColumn("_block", F.pmod(F.xxhash64(row_id), F.col("_blocks"))).drop("_blocks")
+def one_round(rows: DataFrame, names: list[str], y: str, site: str, cells: list[Cell], round_id: int, n_sites: int, own: bool = False) -> pd.DataFrame:
+    """Train every cell on every site for its epochs: a row (cell, site, n, theta) each.
 
+    ``own`` continues each site's own parameters instead of the common ones. Order and noise follow from the seed, the
+    site, the round and the epoch, which keeps a lost task's second run the same as its first.
+    """
+    asked = [F.when(F.col(c.train) if c.train else F.lit(True), F.struct(F.lit(c.name).alias("cell"), F.lit(c.config.seed).alias("seed"), F.lit(c.config.epochs).alias("epochs"))) for c in cells]
+    told = rows.withColumn("_c", F.explode(F.filter(F.array(*asked), lambda v: v.isNotNull())))
+    told = told.select("_c.cell", F.col(site).cast("string").alias("site"), F.explode(F.sequence(F.lit(1), F.col("_c.epochs"))).alias("epoch"), "_c.seed", "_row", *names, F.col(y).cast("double").alias("_y"))
+    place = F.xxhash64("seed", F.lit(round_id), "epoch", "_row")
+    dealt = told.withColumn("place", place).repartition(max(1, len(cells) * n_sites), "cell", "site").sortWithinPartitions("cell", "site", "epoch", "place", "_row")
+    by_name, d = {c.name: (c.config, c.noise, c.theta) for c in cells}, len(names)
+
+    def begun(cell: str, at: str) -> Descent:
+        cfg, noise, theta = by_name[cell]
+        return Descent(theta.get(at if own else "", start_theta(cfg.seed, d)), cfg, np.random.default_rng([cfg.seed, hash_site(at), round_id]), noise)
 
-def one_round(rows: DataFrame, names: list[str], y: str, site: str, cells: list[Cell], round_id: int, own: bool = False) -> pd.DataFrame:
-    """Train every cell on every site for its epochs: a row (cell, site, n, theta) each, n-weighted over the site's blocks.
+    def train(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, run, n, epoch = None, None, 0, 0
 
-    ``own`` continues each site's own parameters instead of the common ones. Reseeding by (seed, site,
-    block, round) keeps a lost task's second run the same as its first.
-    """
-    flags = [(c.name, c.train) for c in cells]
-    tagged = rows.withColumn("_cell", F.explode(F.filter(F.array(*(F.when(F.col(t) if t else F.lit(True), F.lit(n)) for n, t in flags)), lambda v: v.isNotNull())))
-    by_name = {c.name: (c.config, c.noise, c.theta) for c in cells}
-    d = len(names)
+        def result() -> pd.DataFrame:
+            run.end_epoch()
+            return pd.DataFrame({"cell": [key[0]], "site": [key[1]], "n": [float(n)], "theta": [run.theta.tolist()]})
 
-    def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, place, block = key
-        cfg, noise, theta = by_name[cell]
-        begin = theta.get(place if own else "", start_theta(cfg.seed, d))
-        pdf = pdf.sort_values("_order", kind="stable")
-        rng = np.random.default_rng([cfg.seed, abs(hash_site(place)), int(block), round_id])
-        out = descend(begin, pdf[names].to_numpy(float), pdf[y].to_numpy(float), cfg, rng, noise)
-        return pd.DataFrame({"cell": [cell], "site": [place], "n": [float(len(pdf))], "theta": [out.tolist()]})
+        for pdf in pieces:
+            for (cell, at, e), part in pdf.groupby(["cell", "site", "epoch"], sort=True, dropna=False):
+                if (cell, at) != key:
+                    if run:
+                        yield result()
+                    key, run, n, epoch = (cell, at), begun(cell, at), 0, e
+                elif e != epoch:
+                    run.end_epoch()
+                    epoch = e
+                run.feed(part[names].to_numpy(float), part["_y"].to_numpy(float))
+                n += len(part) if e == 1 else 0
+        if run:
+            yield result()
 
-    got = tagged.select("_cell", F.col(site).alias("_site"), "_block", F.col("_row").alias("_order"), *names, y)
-    told = got.groupBy("_cell", "_site", "_block").applyInPandas(train, "cell string, site string, n double, theta array<double>")
-    # sums of n * theta over the blocks, in Spark: one row for each cell and site comes back
-    spread = told.select("cell", "site", "n", F.posexplode("theta").alias("i", "t"))
-    summed = spread.groupBy("cell", "site", "i").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("t")) / F.sum("n")).alias("t"))
-    listed = summed.groupBy("cell", "site").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda v: v["t"]).alias("theta"))
-    return listed.toPandas().sort_values(["cell", "site"]).reset_index(drop=True)
+    trained = dealt.select("cell", "site", "epoch", *names, "_y").mapInPandas(train, "cell string, site string, n double, theta array<double>")
+    return trained.toPandas().sort_values(["cell", "site"]).reset_index(drop=True)  # a row for each cell and site
 
 
 def hash_site(site: str) -> int:
@@ -194,9 +227,9 @@ def average(told: pd.DataFrame, weighting: str, secure: Aggregator | None = None
 
 def fit(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells: list[Cell], secure: bool = False, lost: dict[int, frozenset[str]] | None = None) -> list[Cell]:
     """Federated averaging of all cells together; rows are standardised. In both modes a lost site leaves the cohort for good."""
-    held = blocks(rows.withColumn("_row", F.col(row_id)), site, row_id).persist()
+    held = rows.withColumn("_row", F.col(row_id)).persist()
     try:
-        sites = sorted(r[0] for r in held.select(site).distinct().collect())
+        sites = sorted(str(r[0]) for r in held.select(F.col(site).cast("string")).distinct().collect())
         numbers = {s: i for i, s in enumerate(sites)}
         safe = {c.name: Aggregator({i: Site(i, 2) for i in numbers.values()}) for c in cells} if secure else {}
         gone: set[str] = set()
@@ -204,7 +237,7 @@ def fit(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells
             c.theta = {"": start_theta(c.config.seed, len(names))}
         for t in range(1, max(c.config.rounds for c in cells) + 1):
             live = [c for c in cells if t <= c.config.rounds]
-            told = one_round(held.where(~F.col(site).isin(*gone)) if gone else held, names, y, site, live, t)
+            told = one_round(held.where(~F.col(site).isin(*gone)) if gone else held, names, y, site, live, t, len(sites))
             now = (lost or {}).get(t, frozenset())
             for c in live:
                 new = average(told[told["cell"] == c.name], c.config.weighting, safe.get(c.name), numbers, now)
@@ -218,12 +251,13 @@ def fit(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells
 
 def fit_local(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells: list[Cell], rounds: int = 1, begin: dict[str, np.ndarray] | None = None) -> list[Cell]:
     """Each site by itself, for rounds times epochs; ``begin`` starts from given parameters (personalisation)."""
-    held = blocks(rows.withColumn("_row", F.col(row_id)), site, row_id).persist()
+    held = rows.withColumn("_row", F.col(row_id)).persist()
     try:
+        n_sites = held.select(site).distinct().count()
         for c in cells:
             c.theta = dict(begin) if begin else {}
         for t in range(1, rounds + 1):
-            told = one_round(held, names, y, site, cells, t, own=True)
+            told = one_round(held, names, y, site, cells, t, n_sites, own=True)
             for c in cells:
                 c.theta = {s: np.asarray(th) for s, th in told[told["cell"] == c.name][["site", "theta"]].itertuples(index=False)}
     finally:
@@ -233,9 +267,13 @@ def fit_local(rows: DataFrame, names: list[str], y: str, site: str, row_id: str,
 
 def fit_pooled(rows: DataFrame, names: list[str], y: str, row_id: str, cfg: Config) -> np.ndarray:
     """All rows as one site, with as many passes as the federated model gets."""
-    cell = Cell("pooled", replace(cfg, epochs=cfg.rounds * cfg.epochs))
-    fit_local(rows.withColumn("_all", F.lit("all")), names, y, "_all", row_id, [cell])
-    return cell.theta["all"]
+    return fit_pooled_cells(rows, names, y, row_id, [Cell("pooled", cfg)])["pooled"]
+
+
+def fit_pooled_cells(rows: DataFrame, names: list[str], y: str, row_id: str, cells: list[Cell]) -> dict[str, np.ndarray]:
+    """The same for several cells, each with its own rows, trained together."""
+    fit_local(rows.withColumn("_all", F.lit("all")), names, y, "_all", row_id, cells, rounds=max(c.config.rounds for c in cells))
+    return {c.name: c.theta["all"] for c in cells}
 
 
 # ---- scoring and experiments
@@ -276,15 +314,15 @@ def cross_validate(rows: DataFrame, names: list[str], y: str, site: str, row_id:
         flagged = dealt.select("*", *((F.col("fold") != k).alias(f"_in_{k}") for k in range(cfg.folds))).persist()
         cells = [Cell(f"{k}", replace(cfg, seed=cfg.seed + r), f"_in_{k}") for k in range(cfg.folds)]
         fit(flagged, names, y, site, row_id, cells)
-        alone = [Cell(f"{k}", replace(cfg, seed=cfg.seed + r, epochs=cfg.rounds * cfg.epochs), f"_in_{k}") for k in range(cfg.folds)]
-        fit_local(flagged, names, y, site, row_id, alone)
-        pooled = [fit_pooled(flagged.where(f"_in_{k}"), names, y, row_id, replace(cfg, seed=cfg.seed + r)) for k in range(cfg.folds)]
+        anew = lambda: [Cell(f"{k}", replace(cfg, seed=cfg.seed + r), f"_in_{k}") for k in range(cfg.folds)]  # noqa: B023, E731
+        alone = fit_local(flagged, names, y, site, row_id, anew(), rounds=cfg.rounds)
+        pooled = fit_pooled_cells(flagged, names, y, row_id, anew())
         for k in range(cfg.folds):
             out = flagged.where(F.col("fold") == k).select(site, y, *names)
             for regime, scored in (
                 ("federated", score(out, names, cells[k].theta[""])),
                 ("local", score_by_site(out, names, site, alone[k].theta)),
-                ("centralized", score(out, names, pooled[k])),
+                ("centralized", score(out, names, pooled[f"{k}"])),
             ):
                 part = scored.select(F.lit(regime).alias("regime"), F.lit(r).alias("repeat"), F.col(site).alias("site"), F.col(y).cast("double").alias("y"), "p")
                 told = part if told is None else told.unionByName(part)

@@ -82,15 +82,28 @@ def test_one_site_is_local_descent(spark):
     df, names, x, y = rows(spark, n=50, sites=1)
     cfg = federated.Config(rounds=1, epochs=3)
     got = federated.fit(df, names, "y", "site", "id", [federated.Cell("c", cfg)])[0].theta[""]
-    rng = np.random.default_rng([0, federated.hash_site("S0"), 0, 1])
-    assert got == pytest.approx(federated.descend(federated.start_theta(0, 3), x, y.astype(float), cfg, rng))
-
-
-def test_blocks_bound_what_a_task_holds(spark, monkeypatch):
-    monkeypatch.setattr(federated, "BLOCK", 30)
-    df, _, _, _ = rows(spark)
-    held = federated.blocks(df, "site", "id").groupBy("site", "_block").count().collect()
-    assert len(held) == 12 and max(r["count"] for r in held) <= 60
+    theta, free = federated.start_theta(0, 3), np.array([1.0, 1.0, 1.0, 0.0])
+    x1 = np.column_stack([x, np.ones(50)])
+    for epoch in (1, 2, 3):  # the order is that of a hash of seed, round, epoch and row
+        order = [r["id"] for r in df.orderBy(F.xxhash64(F.lit(0), F.lit(1), F.lit(epoch), "id")).select("id").collect()]
+        for at in range(0, 50, cfg.batch):
+            b = order[at : at + cfg.batch]
+            g = x1[b].T @ (1 / (1 + np.exp(-x1[b] @ theta)) - y[b]) / len(b)
+            theta = theta - cfg.rate * (g + cfg.l2 * free * theta)
+    assert got == pytest.approx(theta)
+
+
+def test_a_site_streams_through_in_pieces(spark):
+    """Neither the size of the Arrow batches nor the number of rows of a site changes what is done."""
+    df, names, _, _ = rows(spark)
+    cells = lambda: [federated.Cell("a", federated.Config(rounds=2)), federated.Cell("b", federated.Config(rounds=2, epochs=1, batch=1000))]
+    whole = federated.fit(df, names, "y", "site", "id", cells())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        pieces = federated.fit(df, names, "y", "site", "id", cells())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(p.theta[""] == pytest.approx(w.theta[""]) for p, w in zip(pieces, whole, strict=True))
 
 
 def test_folds_deal_every_site_and_label(spark):
