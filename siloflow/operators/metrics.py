@@ -180,18 +180,36 @@ def summarize(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), std.alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
-def bootstrap_auc_ci(rows: DataFrame, y: str, p: str, n_boot: int = 2000, seed: int = 0) -> DataFrame:
-    """The 2.5 and 97.5 percentiles of the area over resamples within each class.
+#: Counts up to which a Poisson count is drawn from its table; above, by the normal distribution with its mean and spread.
+POISSON_TABLE = 50
+POISSON_MOST = 120
 
-    A row's count in a resample is Poisson-like: n draws of its class by hash, each draw hitting one
-    row. Draws are numbered, hashed to a row number and counted, so a resample is a join, not a loop.
+
+def _uniform(*what: Column) -> Column:
+    """A number in [0, 1) that follows from the values, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(w.cast("string") for w in what))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def bootstrap_auc_ci(rows: DataFrame, y: str, p: str, n_boot: int = 2000, seed: int = 0, resolution: int = 10_000) -> DataFrame:
+    """The 2.5 and 97.5 percentiles of the area over Poisson resamples within each class.
+
+    Rows are counted by class and score, which is cut to one part in ``resolution``; in a resample the c rows of a score come
+    Poisson(c) times, as they do when each row is drawn anew. So no row is numbered, and what is resampled has a bounded size.
     """
-    numbered = rows.select(F.col(y).cast("int").alias("_y"), F.col(p).cast("double").alias("_v"))
-    numbered = numbered.withColumn("_i", F.row_number().over(Window.partitionBy("_y").orderBy("_v")) - 1)
-    sizes = numbered.groupBy("_y").agg(F.count("*").alias("_m"))
+    score = F.floor(F.col(p).cast("double") * resolution)
+    counted = rows.select(F.col(y).cast("int").alias("_y"), score.alias("_b")).groupBy("_y", "_b").agg(F.count("*").alias("_n"))
+    terms = lambda n: F.transform(F.sequence(F.lit(0), F.lit(POISSON_MOST)), lambda k: F.exp(-n + k * F.log(n) - F.log(F.factorial(F.least(k, F.lit(20)))) - F.aggregate(F.when(k > 20, F.sequence(F.lit(21), k)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, j: a + F.log(j.cast("double")))))
+    upto = lambda n: F.transform(F.sequence(F.lit(1), F.lit(POISSON_MOST + 1)), lambda k: F.aggregate(F.slice("_t", F.lit(1), k), F.lit(0.0), lambda a, x: a + x))
+    table = rows.sparkSession.range(1, POISSON_TABLE + 1).select(F.col("id").alias("_n"), terms(F.col("id").cast("double")).alias("_t")).select("_n", upto(None).alias("_cdf"))
     boots = rows.sparkSession.range(n_boot).withColumnRenamed("id", "boot")
-    drawn = boots.crossJoin(F.broadcast(sizes)).select("boot", "_y", "_m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("_d"))  # two classes
-    drawn = drawn.select("boot", "_y", F.pmod(F.xxhash64(F.lit(seed), "boot", "_y", "_d"), F.col("_m")).alias("_i"))
-    sample = drawn.join(numbered, ["_y", "_i"])
-    areas = ranking(sample, "_y", "_v", "boot")
+    drawn = counted.join(F.broadcast(table), "_n", "left").crossJoin(F.broadcast(boots))  # resolution times n_boot rows at most
+    u, v = _uniform(F.lit(seed), F.col("boot"), F.col("_y"), F.col("_b")), _uniform(F.lit(seed), F.col("boot"), F.col("_y"), F.col("_b"), F.lit("v"))
+    drawn = drawn.withColumns({"_u": u, "_v": v})
+    normal = F.sqrt(-2.0 * F.log(1.0 - F.col("_u"))) * F.cos(F.lit(6.283185307179586) * F.col("_v"))
+    wide = F.greatest(F.lit(0.0), F.bround(F.col("_n") + F.sqrt(F.col("_n").cast("double")) * normal))
+    times = F.when(F.col("_cdf").isNull(), wide).otherwise(F.size(F.filter("_cdf", lambda x: x < F.col("_u"))).cast("double"))
+    counts = drawn.select("boot", "_b", "_y", times.alias("_k")).groupBy("boot", "_b").agg(F.sum(F.when(F.col("_y") == 1, F.col("_k")).otherwise(0.0)).alias("tp"), F.sum(F.when(F.col("_y") == 0, F.col("_k")).otherwise(0.0)).alias("fp"))
+    below = F.coalesce(F.sum("fp").over(Window.partitionBy("boot").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    won = counts.withColumn("_won", F.col("tp") * (below + F.col("fp") / 2.0)).groupBy("boot").agg(F.sum("_won").alias("w"), F.sum("tp").alias("p"), F.sum("fp").alias("n"))
+    areas = won.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auc"))
     return areas.agg(F.count("auc").alias("n_boot"), F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))

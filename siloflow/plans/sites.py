@@ -139,7 +139,8 @@ def worst_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap_auc_ci(_scored(spark, sf_dir), "y", "p", n_boot=200)
+    got = metrics.bootstrap_auc_ci(_scored(spark, sf_dir), "y", "p")
+    return _rounded(got, "n_boot", digits=9)
 
 
 def summarize_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,19 +232,66 @@ def asof_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_id", F.when(near, F.col("cue.event_type")).alias("cue"))
 
 
+#: Batches that no site fills: each epoch is one step over all rows, which SQL can say too.
+WHOLE = 1 << 40
+FIT = federated.Config(rounds=3, epochs=2, batch=WHOLE, l2=L2, rate=RATE)
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled(spark, sf_dir).withColumn("_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+
+
+def _thetas(spark: SparkSession, key: str, models: dict[str, list[float]]) -> DataFrame:
+    rows = [(k, i, round(float(t), 6)) for k, theta in sorted(models.items()) for i, t in enumerate(theta)]
+    return spark.createDataFrame(rows, f"{key} string, i int, theta double")
+
+
 def fedavg_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A federated model of a few rounds: its rounds' update norms."""
-    rows = scaled(spark, sf_dir).withColumn("_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    cells = federated.fit(rows, NAMES, "y", "site", "_id", [federated.Cell("run", federated.Config(rounds=3, epochs=1, batch=256))])
-    shown = [F.struct(F.lit(h["round"]).alias("round"), F.lit(h["update_norm"]).alias("update_norm"), F.lit(len(h["participants"])).alias("participants")) for h in cells[0].history]
-    return spark.range(1).select(F.inline(F.array(*shown)))
+    """Federated averaging by rows and uniformly: the common parameters."""
+    cells = [federated.Cell(w, federated.replace(FIT, weighting=w)) for w in ("n_samples", "uniform")]
+    federated.fit(_identified(spark, sf_dir), NAMES, "y", "site", "_id", cells)
+    return _thetas(spark, "weighting", {c.name: list(c.theta[""]) for c in cells})
+
+
+def fedavg_secure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under secure aggregation, with a site that drops out in the last round."""
+    cells = [federated.Cell("n_samples", FIT)]
+    federated.fit(_identified(spark, sf_dir), NAMES, "y", "site", "_id", cells, secure=True, lost={3: frozenset({"ASIA"})})
+    return _thetas(spark, "weighting", {c.name: [round(float(t), 5) for t in c.theta[""]] for c in cells})
 
 
 def local_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each site's own model and how well it ranks its own rows."""
-    rows = scaled(spark, sf_dir).withColumn("_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    models = federated.fit_local(rows, NAMES, "y", "site", "_id", [federated.Cell("own", federated.Config(epochs=1, batch=256))])[0].theta
-    return metrics.binary_metrics(federated.score_by_site(rows, NAMES, "site", models).select("site", "y", F.round("p", 6).alias("p")), "y", "p", "site")
+    """Each site's own parameters."""
+    cell = federated.Cell("own", FIT)
+    federated.fit_local(_identified(spark, sf_dir), NAMES, "y", "site", "_id", [cell])
+    return _thetas(spark, "site", {k: list(v) for k, v in cell.theta.items()})
+
+
+def pooled_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows as one site, with as many passes as the federated model."""
+    return _thetas(spark, "regime", {"centralized": list(federated.fit_pooled(_identified(spark, sf_dir), NAMES, "y", "_id", FIT))})
+
+
+def personal_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The federated model after one round, trained on for two epochs at each site."""
+    own = federated.personalise(_identified(spark, sf_dir), NAMES, "y", "site", "_id", federated.replace(FIT, rounds=1))
+    return _thetas(spark, "site", {k: list(v) for k, v in own.items()})
+
+
+def private_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clipped full-batch descent without noise: two steps at each site, averaged by rows."""
+    cells = [federated.Cell("clipped", federated.replace(FIT, rounds=1), noise=accounting.Noise(0.0, 0.5))]
+    federated.fit(_identified(spark, sf_dir), NAMES, "y", "site", "_id", cells)
+    return _thetas(spark, "weighting", {"n_samples": list(cells[0].theta[""])})
+
+
+def optimum_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient of the objective at the optimum, which is nothing, and its number of rows."""
+    rows = scaled(spark, sf_dir)
+    theta = federated.optimum(rows, NAMES, "y", L2)
+    g = federated.gradient_sums(rows, NAMES, "y", list(theta))
+    parts = [F.struct(F.lit(i).alias("i"), (F.round(F.col(f"g_{i}") / F.col("n") + F.lit(L2 * float(t) if i < len(NAMES) else 0.0), 6) + 0.0).alias("gradient"), F.col("n").cast("long").alias("n")) for i, t in enumerate(theta)]
+    return g.select(F.inline(F.array(*parts)))
 
 
 QUERIES = {
@@ -252,7 +300,8 @@ QUERIES = {
         site_moments, federated_standardizer, non_iid_profile, global_objective, site_gradients, fedavg_one_round, clipped_gradient_sum, fixed_point_roundtrip,
         masked_sum_mod64, pairwise_mask_join, rdp_epsilon_grid, transport_audit, auc_ap_by_site, calibration_by_site, worst_site, bootstrap_auc, summarize_metrics,
         stratified_folds, unit_conversion, numeric_tolerance_score, category_accuracy, set_field_f1, normal_tokens, repair_projection, anti_missing, anti_extra,
-        semi_subset, duplicate_texts, cross_site_scores, asof_cue, fedavg_fit, local_models,
+        semi_subset, duplicate_texts, cross_site_scores, asof_cue, fedavg_fit, fedavg_secure, local_models, pooled_model,
+        personal_models, private_steps, optimum_gradient,
     )
 }
 
@@ -272,7 +321,60 @@ _RANK = """
 _CAL = """count(*) AS n, avg(y::DOUBLE) AS prevalence, avg(q) AS mean_predicted, avg((q - y) * (q - y)) AS brier, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS log_loss"""
 _Q = "SELECT *, least(greatest(p, 1e-7), 1 - 1e-7) AS q FROM scored"
 
+_D = len(NAMES) + 1
+
+
+def _fit_sql(rounds: int, weight: str, answer: str, sites: str = "site", clip: float | None = None, gone: tuple[int, str] | None = None, begin: str = "", own: int = 0) -> str:
+    """Rounds of two full-batch steps at each site from common parameters, then their mean; ``own`` more rounds without a mean."""
+    start = federated.start_theta(0, len(NAMES))
+    ctes = [f"r AS (SELECT {sites} AS site, * EXCLUDE (site) FROM ({_SCALED}) s)", "s AS (SELECT DISTINCT site FROM r)"]
+    ctes.append("c0 AS (SELECT " + ", ".join(f"{float(t)!r}::DOUBLE AS t{i}" for i, t in enumerate(start)) + ")")
+    z = " + ".join([f"{f} * t{i}" for i, f in enumerate(NAMES)] + [f"t{_D - 1}"])
+    parts = [f"e * {f}" for f in NAMES] + ["e"]
+    norm = f"greatest(1.0::DOUBLE, sqrt({' + '.join(f'({p}) * ({p})' for p in parts)}) / {clip}::DOUBLE)" if clip else "1.0::DOUBLE"
+
+    def step(source: str, into: str) -> str:
+        grads = ", ".join(f"avg({p} / k) AS g{i}" for i, p in enumerate(parts))
+        moved = ", ".join(f"t{i} - {RATE}::DOUBLE * (g{i} + {L2 if i < _D - 1 else 0.0}::DOUBLE * t{i}) AS t{i}" for i in range(_D))
+        return (f"{into} AS (SELECT site, n, {moved} FROM (SELECT site, count(*) AS n, {', '.join(f'any_value(t{i}) AS t{i}' for i in range(_D))}, {grads} "
+                f"FROM (SELECT *, {norm} AS k FROM (SELECT r.*, {', '.join(f'p.t{i}' for i in range(_D))}, 1 / (1 + exp(-({z}))) - y AS e FROM r JOIN {source} p USING (site)) a) b GROUP BY site) d)")
+
+    for t in range(1, rounds + 1):
+        at = f"SELECT site, c.* FROM s, c{t - 1} c" + (f" WHERE site <> '{gone[1]}'" if gone and t >= gone[0] else "")
+        ctes += [f"b{t} AS ({at})", step(f"b{t}", f"u{t}"), step(f"u{t}", f"v{t}")]
+        w = "n" if weight == "n_samples" else "1"
+        ctes.append(f"c{t} AS (SELECT " + ", ".join(f"sum({w} * t{i}) / sum({w}) AS t{i}" for i in range(_D)) + f" FROM v{t})")
+    if own:
+        ctes += [f"o AS (SELECT site, c.* FROM s, c{rounds} c)", step("o", "ou"), step("ou", "ov")]
+    return "WITH " + ",\n".join(ctes) + f"\n{answer}"
+
+
+def _long(key: str, source: str, digits: int = 6) -> str:
+    return " UNION ALL ".join(f"SELECT {key}, {i} AS i, round(round(t{i}, 6), {digits}) AS theta FROM {source}" for i in range(_D))
+
+
+_BOOT = f"""
+  WITH k AS (SELECT y, CAST(floor(p * 10000) AS BIGINT) AS b, count(*) AS n FROM ({_SCORED}) s GROUP BY ALL),
+  f AS (SELECT unnest(range(0, {metrics.POISSON_MOST + 1})) AS k),
+  c AS (SELECT n, list(cdf ORDER BY k) AS cdf FROM (SELECT n, k, sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS cdf FROM (SELECT DISTINCT n FROM k WHERE n <= {metrics.POISSON_TABLE}) d, f) e GROUP BY n),
+  d AS (SELECT boot, y, b, k.n, cdf, CAST('0x' || substr(md5('0:' || boot || ':' || y || ':' || b), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u,
+          CAST('0x' || substr(md5('0:' || boot || ':' || y || ':' || b || ':v'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS v
+        FROM k LEFT JOIN c USING (n), range(2000) t(boot)),
+  w AS (SELECT boot, y, b, CASE WHEN cdf IS NULL THEN greatest(0, round_even(n + sqrt(n) * sqrt(-2 * ln(1 - u)) * cos(6.283185307179586::DOUBLE * v), 0)) ELSE len(list_filter(cdf, lambda x: x < u))::DOUBLE END AS m FROM d),
+  g AS (SELECT boot, b, sum(CASE WHEN y = 1 THEN m ELSE 0 END) AS tp, sum(CASE WHEN y = 0 THEN m ELSE 0 END) AS fp FROM w GROUP BY ALL),
+  a AS (SELECT boot, tp, fp, tp * (coalesce(sum(fp) OVER (PARTITION BY boot ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + fp / 2) AS won FROM g),
+  o AS (SELECT CASE WHEN sum(tp) > 0 AND sum(fp) > 0 THEN sum(won) / (sum(tp) * sum(fp)) END AS auc FROM a GROUP BY boot)
+  SELECT count(auc) AS n_boot, round(quantile_cont(auc, 0.025), 9) AS low, round(quantile_cont(auc, 0.975), 9) AS high FROM o"""
+
 ORACLE = {
+    "bootstrap_auc": _BOOT,
+    "fedavg_fit": " UNION ALL ".join(f"SELECT * FROM ({_fit_sql(3, w, _long(repr(w) + ' AS weighting', 'c3'))}) q" for w in ("n_samples", "uniform")),
+    "fedavg_secure": _fit_sql(3, "n_samples", _long("'n_samples' AS weighting", "c3", 5), gone=(3, "ASIA")),
+    "local_models": _fit_sql(0, "n_samples", _long("site", "ov"), own=1),
+    "pooled_model": _fit_sql(3, "n_samples", _long("'centralized' AS regime", "c3"), sites="'all'"),
+    "personal_models": _fit_sql(1, "n_samples", _long("site", "ov"), own=1),
+    "private_steps": _fit_sql(1, "n_samples", _long("'n_samples' AS weighting", "c1"), clip=0.5),
+    "optimum_gradient": f"SELECT i, 0.0::DOUBLE AS gradient, count(*) AS n FROM ({_SITE}) s, range({_D}) t(i) GROUP BY i",
     "site_moments": "SELECT site, " + ", ".join(f"round(count({f})::DOUBLE, 2) AS n_{f}, round(sum({f}), 2) AS s_{f}, round(sum({f} * {f}), 2) AS q_{f}" for f in NAMES) + f" FROM ({_SITE}) t GROUP BY site",
     "federated_standardizer": " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(sqrt(greatest(avg({f} * {f}) - avg({f}) * avg({f}), 0)), 6) AS std FROM ({_SITE}) t" for f in NAMES),
     "non_iid_profile": "SELECT site, count(*) AS n, round(avg(y::DOUBLE), 3) AS prevalence, " + ", ".join(f"round(avg({f}), 3) AS {f}" for f in NAMES) + f" FROM ({_SITE}) t GROUP BY site",
