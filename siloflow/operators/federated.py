@@ -9,6 +9,8 @@ steps, objectives, clipped sums and the Newton optimum are plain aggregates.
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -20,9 +22,13 @@ from pyspark.sql.window import Window
 
 from siloflow.operators import features as X
 from siloflow.operators import metrics as M
-from siloflow.privacy import accounting
-from siloflow.privacy.secagg import Aggregator, Site
+from siloflow.privacy import accounting, wire
+from siloflow.privacy.secagg import Aggregator, ProtocolError, Site
 
+log = logging.getLogger(__name__)
+
+#: Parameters whose objective is taken in one aggregate, and the gap below which a training has converged.
+STRETCH, NEAR = 20, 1e-3
 #: What a site may be asked for.
 ALLOWED = ("moments", "train", "loss")
 
@@ -241,7 +247,7 @@ def fit(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells
             now = (lost or {}).get(t, frozenset())
             for c in live:
                 new = average(told[told["cell"] == c.name], c.config.weighting, safe.get(c.name), numbers, now)
-                c.history.append({"cell": c.name, "round": t, "update_norm": float(np.linalg.norm(new - c.theta[""])), "participants": [numbers[s] for s in sites if s not in gone | now]})
+                c.history.append({"cell": c.name, "round": t, "update_norm": float(np.linalg.norm(new - c.theta[""])), "participants": [numbers[s] for s in sites if s not in gone | now], "theta": new})
                 c.theta = {"": new}
             gone |= now
     finally:
@@ -348,14 +354,27 @@ def select_l2(rows: DataFrame, names: list[str], y: str, site: str, row_id: str,
 
 
 def holdout(train: DataFrame, test: DataFrame, names: list[str], y: str, site: str, row_id: str, cfg: Config, seeds: Iterable[int] = range(5)) -> DataFrame:
-    """(seed, site, metrics) of the federated model on other rows."""
-    cells = [Cell(f"{s}", replace(cfg, seed=s)) for s in seeds]
-    fit(train, names, y, site, row_id, cells)
+    """(regime, seed, site, metrics) of the local, federated and pooled models on other rows, and ``local of X`` for X's model on all of them.
+
+    The rows of a site under ``local of X`` are the cross-site areas.
+    """
+    anew = lambda: [Cell(f"{s}", replace(cfg, seed=s)) for s in seeds]
+    common, pooled = fit(train, names, y, site, row_id, anew()), fit_pooled_cells(train, names, y, row_id, anew())
+    alone = fit_local(train, names, y, site, row_id, anew(), rounds=cfg.rounds)
     told = None
-    for c in cells:
-        part = score(test, names, c.theta[""]).select(F.lit(int(c.name)).alias("seed"), F.col(site).alias("site"), F.col(y).cast("double").alias("y"), "p")
-        told = part if told is None else told.unionByName(part)
-    return M.binary_metrics(told, "y", "p", "seed", "site").unionByName(M.binary_metrics(told, "y", "p", "seed").withColumn("site", F.lit("overall")))
+    for c, own in zip(common, alone, strict=True):
+        scored = [("federated", score(test, names, c.theta[""])), ("centralized", score(test, names, pooled[c.name])), ("local", score_by_site(test, names, site, own.theta))]
+        scored += [(f"local of {place}", score(test, names, theta)) for place, theta in own.theta.items()]
+        for regime, rows in scored:
+            part = rows.select(F.lit(regime).alias("regime"), F.lit(int(c.name)).alias("seed"), F.col(site).cast("string").alias("site"), F.col(y).cast("double").alias("y"), "p")
+            told = part if told is None else told.unionByName(part)
+    return M.binary_metrics(told, "y", "p", "regime", "seed", "site").unionByName(M.binary_metrics(told, "y", "p", "regime", "seed").withColumn("site", F.lit("overall")))
+
+
+def holdout_interval(train: DataFrame, test: DataFrame, names: list[str], y: str, site: str, row_id: str, cfg: Config, n_boot: int = 2000) -> DataFrame:
+    """(n_boot, low, high): the bootstrap interval of the federated model's area on other rows."""
+    theta = fit(train, names, y, site, row_id, [Cell("one", cfg)])[0].theta[""]
+    return M.bootstrap_auc_ci(score(test, names, theta), y, "p", n_boot, cfg.seed)
 
 
 def seed_stability(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cfg: Config, seeds: Iterable[int] = range(10)) -> dict:
@@ -371,11 +390,17 @@ def seed_stability(rows: DataFrame, names: list[str], y: str, site: str, row_id:
 
 
 def convergence(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cfg: Config, epochs: Iterable[int] = (1, 2, 5, 10)) -> list[dict]:
-    """The gap to the optimum for each weighting and number of local epochs, and update norms by round."""
+    """For each weighting and number of local epochs the gap to the optimum by round, the first round below NEAR, and update norms."""
     cells = [Cell(f"{w}/{e}", replace(cfg, epochs=e, weighting=w)) for w in ("n_samples", "uniform") for e in epochs]
     fit(rows, names, y, site, row_id, cells)
-    least = objective(rows, names, y, list(optimum(rows, names, y, cfg.l2)), cfg.l2)
-    return [{"cell": c.name, "gap": objective(rows, names, y, list(c.theta[""]), cfg.l2) - least, "update_norms": [h["update_norm"] for h in c.history]} for c in cells]
+    best = list(optimum(rows, names, y, cfg.l2))
+    least, *reached = objectives(rows, names, y, [best, *(list(h["theta"]) for c in cells for h in c.history)], cfg.l2)
+    told = []
+    for c in cells:
+        gaps, reached = [v - least for v in reached[: len(c.history)]], reached[len(c.history) :]
+        near = next((h["round"] for h, g in zip(c.history, gaps, strict=True) if g < NEAR), None)
+        told.append({"cell": c.name, "gap": gaps[-1], "gaps": gaps, "first_near": near, "update_norms": [h["update_norm"] for h in c.history]})
+    return told
 
 
 def personalise(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cfg: Config, epochs: int = 2) -> dict[str, np.ndarray]:
@@ -385,22 +410,70 @@ def personalise(rows: DataFrame, names: list[str], y: str, site: str, row_id: st
     return fit_local(rows, names, y, site, row_id, [Cell("own", replace(cfg, epochs=epochs))], begin={s: common for s in sites})[0].theta
 
 
-def private_study(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cfg: Config, targets: Iterable[float] = (0.5, 1, 2, 4, 8), at_delta: float = 1e-3) -> list[dict]:
-    """For each epsilon the noise it takes, both accounts of it, and the objective that is reached; all trained together."""
+def private_study(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cfg: Config, targets: Iterable[float] = (0.5, 1, 2, 4, 8), at_delta: float = 1e-3, test: DataFrame | None = None) -> list[dict]:
+    """For each epsilon, and without noise (null), the noise it takes, both accounts of it, the objective, and area and Brier score on the test rows (or the own ones); all trained together."""
     steps = cfg.rounds * cfg.epochs
-    noises = {e: accounting.multiplier_for(e, steps, at_delta) for e in targets}
+    noises = {e: accounting.multiplier_for(e, steps, at_delta) for e in targets} | {None: 0.0}
     cells = fit(rows, names, y, site, row_id, [Cell(f"{e}", cfg, noise=accounting.Noise(s)) for e, s in noises.items()])
+    reached = objectives(rows, names, y, [list(c.theta[""]) for c in cells], cfg.l2)
+    told = None
+    for c in cells:
+        part = score(rows if test is None else test, names, c.theta[""]).select(F.lit(c.name).alias("cell"), F.col(y).cast("double").alias("y"), "p")
+        told = part if told is None else told.unionByName(part)
+    scores = {r["cell"]: r for r in M.binary_metrics(told, "y", "p", "cell").collect()}
     return [
-        {"epsilon": e, "sigma": s, "epsilon_exact": accounting.epsilon(s, steps, at_delta), "epsilon_rdp": accounting.renyi_epsilon(s, steps, at_delta), "objective": objective(rows, names, y, list(c.theta[""]), cfg.l2)}
-        for (e, s), c in zip(noises.items(), cells, strict=True)
-    ]
+        {
+            "epsilon": e, "sigma": s, "epsilon_exact": accounting.epsilon(s, steps, at_delta) if s else None, "epsilon_rdp": accounting.renyi_epsilon(s, steps, at_delta) if s else None,
+            "objective": v, "auc": scores[c.name]["auc"], "brier": scores[c.name]["brier"],
+        }
+        for (e, s), c, v in zip(noises.items(), cells, reached, strict=True)
+    ]
 
 
 def secure_benchmark(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cfg: Config) -> dict:
-    """The largest difference that secure aggregation makes to the parameters."""
-    plain = fit(rows, names, y, site, row_id, [Cell("plain", cfg)])[0].theta[""]
-    masked = fit(rows, names, y, site, row_id, [Cell("plain", cfg)], secure=True)[0].theta[""]
-    return {"max_abs_difference": float(np.abs(plain - masked).max())}
+    """Plain against secure aggregation: largest difference of the parameters, seconds, bytes that a site sends, and a run in which a site drops out half way."""
+    out: dict = {}
+    d = len(names) + 1
+    sites = sorted(str(r[0]) for r in rows.select(site).distinct().collect())
+    run = {}
+    for name, secure, lost in (("plain", False, None), ("secure", True, None), ("dropout", True, {max(1, cfg.rounds // 2): frozenset(sites[-1:])})):
+        began = time.perf_counter()
+        run[name] = fit(rows, names, y, site, row_id, [Cell(name, cfg)], secure=secure, lost=lost)[0]
+        out[f"seconds_{name}"] = time.perf_counter() - began
+    out["max_abs_difference"] = float(np.abs(run["plain"].theta[""] - run["secure"].theta[""]).max())
+    vector = np.zeros(d + 1)
+    out["bytes_plain"] = cfg.rounds * len(wire.encode({"theta": vector[:-1], "n": 1}))
+    # a masked vector, then shares of the own seed for every other site and for each site that is alive, each sealed
+    out["bytes_secure"] = cfg.rounds * (len(wire.encode({"masked": vector.astype(np.uint64)})) + 2 * (len(sites) - 1) * len(wire.encode({"share": b"0" * 112})))
+    out["rounds_with_dropout"] = len(run["dropout"].history)
+    out["participants_after_dropout"] = run["dropout"].history[-1]["participants"]
+    out["objective_with_dropout"] = objective(rows, names, y, list(run["dropout"].theta[""]), cfg.l2)
+    return out
+
+
+def final_model(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cfg: Config) -> tuple[Cell, str]:
+    """The federated model under secure aggregation, or without it where the protocol fails (too few sites); and which it was."""
+    try:
+        return fit(rows, names, y, site, row_id, [Cell("final", cfg)], secure=True)[0], "secure"
+    except ProtocolError as e:
+        log.warning("secure aggregation failed (%s); training goes on without it", e)
+        return fit(rows, names, y, site, row_id, [Cell("final", cfg)])[0], "plain"
+
+
+def own_rows(rows: DataFrame, site: str, own: str) -> DataFrame:
+    """The rows, all of which must be the site's own: one of another site, or of none, fails the job that meets it."""
+    foreign = F.raise_error(F.concat(F.lit(f"foreign row at {own}: "), F.coalesce(F.col(site).cast("string"), F.lit("null")))).cast("boolean")
+    return rows.where(F.when(F.col(site) == own, F.lit(True)).otherwise(foreign))
+
+
+def objectives(rows: DataFrame, names: list[str], y: str, thetas: list[list[float]], l2: float) -> list[float]:
+    """The objective at many parameters, STRETCH of them in one aggregate."""
+    out: list[float] = []
+    for at in range(0, len(thetas), STRETCH):
+        part = thetas[at : at + STRETCH]
+        means = rows.agg(*(F.avg(loss(logit(names, t), F.col(y).cast("double"))).alias(f"o{i}") for i, t in enumerate(part))).first()
+        out += [float(m) + 0.5 * l2 * float(np.dot(t[:-1], t[:-1])) for m, t in zip(means, part, strict=True)]
+    return out
 
 
 def site_task(rows: DataFrame, task: str, names: list[str], y: str, site: str, theta: list[float] | None = None) -> DataFrame:
@@ -416,6 +489,6 @@ def site_task(rows: DataFrame, task: str, names: list[str], y: str, site: str, t
     return gradient_sums(rows, names, y, theta, site)
 
 
-def transport_log(messages: DataFrame) -> DataFrame:
-    """(direction, client, bytes) sums over messages with direction, client, type and payload (text)."""
-    return messages.groupBy("direction", "client").agg(F.count("*").alias("messages"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
+def transport_log(messages: DataFrame, *by: str) -> DataFrame:
+    """(direction, client, messages, bytes) sums over messages with direction, client, type and payload (text), or by other columns such as type."""
+    return messages.groupBy(*(by or ("direction", "client"))).agg(F.count("*").alias("messages"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))

@@ -180,6 +180,12 @@ def summarize(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), std.alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
+def summarize_metrics(rows: DataFrame, *by: str, names: tuple[str, ...] = ("auc", "ap", "brier", "log_loss", "composite")) -> DataFrame:
+    """(by, metric, n, mean, std, min, max) of metric columns over repeats."""
+    long = rows.select(*by, F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("_v")) for n in names))))
+    return summarize(long, "_v", *by, "metric")
+
+
 #: Counts up to which a Poisson count is drawn from its table; above, by the normal distribution with its mean and spread.
 POISSON_TABLE = 50
 POISSON_MOST = 120

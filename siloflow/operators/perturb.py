@@ -185,3 +185,13 @@ def every_transform(rows: DataFrame, note: str, spans: str, seed: int = 0) -> Da
     parts = [rows.withColumn(spans, F.col(spans).cast(S.SPANS)).withColumn("transform", F.lit("identity"))]
     parts += [perturb(rows, note, spans, name, seed).withColumn("transform", F.lit(name)) for name in (*TRANSFORMS, "combined")]
     return reduce(DataFrame.unionByName, parts)
+
+
+def evaluate_transforms(moved: DataFrame, note: str, spans: str) -> DataFrame:
+    """Detection on every transformed note: (transform, n_gold, n_found, n_other, and the span scores without rendering)."""
+    from siloflow.operators import evaluate, pii
+
+    got = pii.detect(moved, note, into="_p").select("transform", F.col(note).alias("note_text"), F.col(spans).alias("t_spans"), F.col("_p").alias("p_spans"))
+    got = got.withColumn("p_text", S.render(F.col("note_text"), F.col("p_spans")))
+    told = evaluate.score_spans(got, "transform", "transform")
+    return told.select("transform", F.col("te").alias("n_gold"), F.col("e").alias("n_found"), (F.col("pe") - F.col("e")).alias("n_other"), "char_f1", "label_char_f1", "entity_f1", "leakage_rate", "exact_render_rate", "composite")

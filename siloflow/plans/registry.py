@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siloflow.plans import sites, text
+from siloflow.plans import cases, sites, text
 
-QUERIES = text.QUERIES | sites.QUERIES
-ORACLE: dict[str, str] = text.ORACLE | sites.ORACLE
+QUERIES = text.QUERIES | sites.QUERIES | cases.QUERIES
+ORACLE: dict[str, str] = text.ORACLE | sites.ORACLE | cases.ORACLE

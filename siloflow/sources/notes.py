@@ -29,7 +29,12 @@ PREDICTION_SCHEMA = f"case_id string, pii_entities {SPAN_SCHEMA}, deidentified_t
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = INPUT_SCHEMA) -> DataFrame:
     """Records of a file or folder; blank lines are passed over, anything that is no JSON object fails the job with the line's text."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    return parsed(spark.read.text(path), schema)
+
+
+def parsed(lines: DataFrame, schema: str = INPUT_SCHEMA) -> DataFrame:
+    """The same from lines that are at hand in a column ``value``."""
+    lines = lines.where(F.trim("value") != "")
     # a top-level array would be taken for several records, so what a line starts with is looked at first
     plain = F.when(F.trim("value").startswith("{"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no JSON object: "), F.left("value", F.lit(80)))))
     return lines.select(F.from_json(plain, f"struct<{_fields(schema)}>", {"mode": "FAILFAST"}).alias("r")).select("r.*")
@@ -49,6 +54,11 @@ def _fields(schema: str) -> str:
     return ",".join(out)
 
 
+def as_lines(df: DataFrame) -> DataFrame:
+    """One object a line with all fields, null ones too, in a column ``value``."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One object a line with all fields, null ones too."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -100,6 +110,28 @@ def attach_labels(inputs: DataFrame, truth: DataFrame) -> DataFrame:
     return inputs.join(one, "case_id")
 
 
+def labelled_notes(train: DataFrame, inputs: DataFrame, truth: DataFrame) -> DataFrame:
+    """(case_id, note_text, spans, age) of both splits: the labelled one, and inputs with the truth of their id."""
+    age = F.col("structured_features.age_years").alias("age")
+    here = train.select("case_id", "note_text", F.col("labels.pii_entities").alias("spans"), age)
+    there = inputs.join(truth.select("case_id", F.col("pii_entities").alias("spans")), "case_id").select("case_id", "note_text", "spans", age)
+    return here.unionByName(there)
+
+
+def load_split(spark: SparkSession, split: str, train: str, inputs: str, truth: str) -> tuple[DataFrame, DataFrame]:
+    """(inputs, truth) of a split by name, from its files; the labelled split holds its truth in itself."""
+    if split == "validation":
+        return read_jsonl(spark, inputs), read_jsonl(spark, truth, TRUTH_SCHEMA)
+    if split != "train":
+        raise ValueError(f"there is no split {split!r}")
+    from siloflow.functions import spans as S
+
+    rows = read_jsonl(spark, train, TRAIN_SCHEMA)
+    shown = S.render(F.col("note_text"), F.array_sort(F.transform("labels.pii_entities", lambda s: S.span(s["start"], s["end"], s["label"], ""))))
+    told = rows.select("case_id", "hospital_id", F.col("labels.pii_entities").alias("pii_entities"), shown.alias("deidentified_text"), F.col("labels.extracted_clinical_data").alias("extracted_clinical_data"), F.col("labels.readmission_30d").alias("readmission_30d"))
+    return rows.drop("labels"), told
+
+
 def rounded(value, digits: int = 4):
     """Floats in a nested artifact rounded; the rest as it is."""
     if isinstance(value, float):
