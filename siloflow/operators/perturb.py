@@ -191,6 +191,7 @@ def evaluate_transforms(moved: DataFrame, note: str, spans: str) -> DataFrame:
     """Detection on every transformed note: (transform, n_gold, n_found, n_other, and the span scores without rendering)."""
     from siloflow.operators import evaluate, pii
 
+    moved = moved.repartition(moved.sparkSession.sparkContext.defaultParallelism)  # else the detector would be planned once for each transform
     got = pii.detect(moved, note, into="_p").select("transform", F.col(note).alias("note_text"), F.col(spans).alias("t_spans"), F.col("_p").alias("p_spans"))
     got = got.withColumn("p_text", S.render(F.col("note_text"), F.col("p_spans")))
     told = evaluate.score_spans(got, "transform", "transform")
