@@ -10,43 +10,10 @@ from pyspark.sql import functions as F
 from siloflow.functions import spans as S
 from siloflow.functions.regex import DIALECT, found
 from siloflow.operators import extraction, perturb, pii
+from siloflow.plans import cases as cases_
 from siloflow.sources import notes
 
 
-DATES = ["2025-03-14", "14 March 2025", "March 14, 2025", "14-Mar-2025", "14.03.25", "14/03/2025"]
-IDS = ["BER/2025/12", "UHID/12345/25", "MRN-12-34567", "HYD864557", "CHN-5425165"]
-PHONES = ["(030) 1234 5678", "+91-98765-43210", "98765 43210", "+49 (0)30 12345678"]
-NAMES = ["Anna-Lena Schmidt-Weber", "Ana Sofia O'Connor", "NEUMANN, Anton", "Neumann, Anton", "Sri Lakshmi Rao"]
-HEADER = "EXPORT // B-191271 // 21.02.2026\nAnton Adler, born 23.05.1963, 62 y, male."
-RECORD = "RECORD 23.05.1963 ... 21.02.2026"
-TEMPLATE = (
-    "Patient: Anna Keller | DOB: 01.02.1970 | Case ID: B-123456\n"
-    "Address: Lindenallee 17, 10117 Berlin | Telephone: +49 30 0000 1111\n"
-    "Encounter date: 03.04.2025 | Attending physician: Dr. Emil Brandt\n"
-    "Electronically signed by Dr. Emil Brandt, emil.brandt@synthetic-clinic.example"
-)
-CONTEXT = [
-    "Allergy record: NKDA. Author: Laura König <laura.koenig@synthetic-clinic.example>.",
-    "Attending: Dr. med. Hans Müller",
-    "Home: Flat 15-B, 31 Marina Cross Street, Chennai - 600 018. Mobile +91 00000 34235.",
-    "Diagnoses: Vorhofflimmern, Parkinson disease, Hodgkin lymphoma. BP 123/72, Eliquis 5 mg, creatinine 136 µmol/L, Hb 151 g/L, EF 45%.",
-    "", "Diagnoses: hypertension.", "\x00\ufffd" * 50 + "DOB: 99.99.9999 | HR 999 bpm | +++", None,
-]
-
-
-@pytest.fixture(scope="module")
-def found_in(spark):
-    """What is found in each text, all texts in one run."""
-    by_age = {None: [TEMPLATE, *CONTEXT], 62: [HEADER, RECORD]}
-    by_age[None] += [f"Patient: Anna Keller | Date of birth: 02.02.1960 | Admitted on: {d}." for d in DATES]
-    by_age[None] += [f"MRN: {i} | Patient: Anna Keller" for i in IDS] + [f"Tel.: {p} | Address: Rosenweg 5, 10115 Berlin" for p in PHONES]
-    by_age[None] += [f"Patient name: {n} | DOB: 01.02.1970" for n in NAMES]
-    data = [(t, age) for age, texts in by_age.items() for t in texts]
-    df = spark.createDataFrame(data, "note_text string, age int").coalesce(1)
-    out = pii.deidentified(pii.detect(df, age="age"))
-    return {r["note_text"]: [(r["note_text"][s["start"] : s["end"]], s["label"]) for s in r["pii_entities"]] for r in out.collect()}
-
-
 def test_found_counts_code_points(spark):
     texts = ["x\U0001f600 a.b@c.de \U0001f600 z@q.org", "", None, "no match", "@@a@b.cd"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
@@ -91,42 +58,10 @@ def test_validation_and_overlap(spark):
     assert one(spark, S.overlap_length(arr(SPAN_A), arr(SPAN_B))) == 5 and one(spark, S.overlap_length(arr(SPAN_A), arr(SPAN_B), same_label=True)) == 0
 
 
-def test_a_whole_note(found_in):
-    assert found_in[TEMPLATE] == [
-        ("Anna Keller", "PATIENT_NAME"), ("01.02.1970", "DATE_OF_BIRTH"), ("B-123456", "PATIENT_ID"), ("Lindenallee 17, 10117 Berlin", "ADDRESS"),
-        ("+49 30 0000 1111", "PHONE_NUMBER"), ("03.04.2025", "ENCOUNTER_DATE"), ("Emil Brandt", "CLINICIAN_NAME"), ("Emil Brandt", "CLINICIAN_NAME"),
-        ("emil.brandt@synthetic-clinic.example", "EMAIL"),
-    ]
-
-
-def test_formats(found_in):
-    for d in DATES:
-        spans = found_in[f"Patient: Anna Keller | Date of birth: 02.02.1960 | Admitted on: {d}."]
-        assert ("02.02.1960", "DATE_OF_BIRTH") in spans and (d, "ENCOUNTER_DATE") in spans
-    for i in IDS:
-        assert (i, "PATIENT_ID") in found_in[f"MRN: {i} | Patient: Anna Keller"]
-    for p in PHONES:
-        assert (p, "PHONE_NUMBER") in found_in[f"Tel.: {p} | Address: Rosenweg 5, 10115 Berlin"]
-    for n in NAMES:
-        assert (n, "PATIENT_NAME") in found_in[f"Patient name: {n} | DOB: 01.02.1970"]
-
-
-def test_context(found_in):
-    got = [found_in[t] for t in CONTEXT]
-    assert ("Laura König", "CLINICIAN_NAME") in got[0] and got[1] == [("Hans Müller", "CLINICIAN_NAME")]
-    assert ("Flat 15-B, 31 Marina Cross Street, Chennai - 600 018", "ADDRESS") in got[2]
-    assert got[3:] == [[], [], [], [], []]
-
-
-def test_dates_by_age(found_in):
-    for t in (HEADER, RECORD):
-        assert ("21.02.2026", "ENCOUNTER_DATE") in found_in[t] and ("23.05.1963", "DATE_OF_BIRTH") in found_in[t]
-
-
 #: Sample notes as JSON lines, if there are any at hand.
 NOTES = os.environ.get("SAMPLE_NOTES", "")
 OWN = [
-    TEMPLATE,
+    cases_.DETECTED[0][0],
     "Name: Priya Raman | MRN: CHN-5425165 | Admission: 12-Mar-2025 | DOB: 04-Jul-1961\nMobile: +91 00000 12345 | Address: Flat 4, 12 Lake View Road, Chennai 600018\n"
     "Known hypertension. Consultant: Dr Arun Kumar, arun.kumar@synthetic-clinic.example",
     "Patient: Karl Weber | DOB: 11/05/1958 | Case ID: HYD864557\nVisit: 07/08/2024 | Telephone: +49 30 0000 2222\nResidence: Rosenweg 5, 10115 Berlin\n"
@@ -185,54 +120,12 @@ def test_edits(spark):
     assert got["t"] == "ab | cd x@y.zz" and [(s["start"], s["end"]) for s in got["s"]] == [(8, 14)]
 
 
-FIELD_CASES = {
-    "diagnoses": [
-        ("Diagnoses: Vorhofflimmern (AF); arterial hypertension.", ["atrial_fibrillation", "hypertension"]),
-        ("Dx: HFrEF; T2DM; CKD stage III.", ["chronic_kidney_disease", "heart_failure", "type_2_diabetes"]),
-        ("Problem list—NSTEMI; COAD.", ["acute_coronary_syndrome", "copd"]),
-        ("Known diagnoses: stable ischemic heart disease; infective consolidation.", ["coronary_artery_disease", "pneumonia"]),
-        ("Diagnoses [unstable angina; LV failure; DM2].", ["acute_coronary_syndrome", "heart_failure", "type_2_diabetes"]),
-        ("Atrial fibrillation was considered but not confirmed.", []), ("The patient denies a history of COPD.", []), ("No history of heart failure.", []),
-        ("Family history of atrial fibrillation in a first-degree relative.", []), ("Mother had type 2 diabetes.", []), ("Pneumonia was ruled out.", []),
-        ("?pneumonia", []), ("No COPD but known hypertension.", ["hypertension"]), ("Diagnoses: type 1 diabetes mellitus.", []), ("", []),
-    ],
-    "medications": [
-        ("Medication list: Eliquis 5 mg b.i.d.; Lasix 40 mg; ecosprin 75 mg.", ["apixaban", "aspirin", "furosemide"]),
-        ("Rx—Tab Xarelto 20 mg OD; frusemide 40 OD; atorva 40.", ["atorvastatin", "furosemide", "rivaroxaban"]),
-        ("Current therapy: acetylsalicylic acid 100 mg; ASA 75 mg; basal insulin.", ["aspirin", "insulin"]),
-        ("Medication [APX 5 mg BID; azithro 500; phenprocoumon/warfarin therapy].", ["apixaban", "azithromycin", "warfarin"]),
-        ("Apixaban was discussed but was not started.", []), ("Metformin was discontinued last month.", []), ("Allergy: allergic to aspirin.", []),
-        ("Medication list: none documented.", []),
-    ],
-    "heart_rate_bpm": [("HR 102 bpm", 102), ("pulse 82/min", 82), ("ventricular rate 73 per minute", 73), ("Heart rate: 88", 88), ("vital signs not captured in the export", None), ("RR 18/min", None), ("HR " + ":" * 6000 + "x", None)],
-    "systolic_bp_mmhg": [("BP 123/72 mmHg", 123), ("blood pressure 142 over 74", 142), ("RR 135/85 mmHg", 135), ("RR 18/min", None)],
-    "creatinine_mg_dl": [("creatinine 1,14 mg/dL", 1.14), ("serum creatinine 136 µmol/L", 1.54), ("Kreatinin 97 umol/l", 1.10), ("creatinine and hemoglobin unavailable", None), ("creatinine 0.95 mg/dL", 0.95), ("creatinine measured at  measured at 1.2", 1.2)],
-    "hemoglobin_g_dl": [("Hb 151 g/L", 15.1), ("hemoglobin 12.6 g/dL", 12.6), ("Hb 8,4 mmol/l", 13.5), ("HbA1c 7.2%", None)],
-    "lvef_percent": [("EF=58%", 58), ("LVEF 35%", 35), ("left ventricular ejection fraction approximately 53 per cent", 53), ("echocardiographic ejection fraction not documented", None), ("EF 35-40%", 38), ("heart failure with reduced EF; SpO2 95%", None)],
-    "smoking_status": [
-        ("Smoking status: stopped smoking several years ago.", "former"), ("smoking=ex-smoker", "former"), ("Tobacco history: non-smoker.", "never"), ("NKDA; no tobacco use.", "never"),
-        ("Smoking: ongoing tobacco use.", "current"), ("tobacco: actively smokes cigarettes.", "current"), ("Smoking: quit 2019.", "former"), ("Smoking: no.", "never"),
-        ("No smoking data.", None), ("Smoking history not documented.", None), ("Diagnoses: HTN.", None),
-    ],
-    "allergy": [
-        ("Allergies: NKDA.", "none"), ("Drug allergy: no medication allergy documented.", "none"), ("Allergy: penicillin causes rash.", "penicillin"),
-        ("Allergy: ibuprofen-associated urticaria.", "nsaid"), ("Allergy=allergic to non-steroidal anti-inflammatory drugs", "nsaid"),
-        ("Drug allergy: contrast medium reaction.", "iodinated_contrast"), ("Diagnoses: HTN.", None),
-    ],
-}
-
-
-@pytest.fixture(scope="module")
-def facts(spark):
-    texts = sorted({t for field in FIELD_CASES.values() for t, _ in field})
-    df = spark.createDataFrame([(t,) for t in texts], "note_text string").coalesce(1)
-    return {r["note_text"]: r["extracted_clinical_data"] for r in extraction.extract(df).collect()}
-
-
-@pytest.mark.parametrize("field", FIELD_CASES)
-def test_fields(facts, field):
-    for text, want in FIELD_CASES[field]:
-        assert facts[text][field] == want, text
+def test_long_runs_and_repeated_links(spark):
+    """What is answered in writing in plans/cases.py is not said again; these are the odd ones."""
+    texts = ["HR " + ":" * 6000 + "x", "creatinine measured at  measured at 1.2", "\x00\ufffd" * 50 + "DOB: 99.99.9999 | HR 999 bpm | +++"]
+    got = pii.detect(extraction.extract(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, note_text string").coalesce(1))).orderBy("i").collect()
+    assert [r["extracted_clinical_data"]["heart_rate_bpm"] for r in got] == [None] * 3 and got[1]["extracted_clinical_data"]["creatinine_mg_dl"] == 1.2
+    assert [r["pii_entities"] for r in got] == [[], [], []]
 
 
 def test_dialect(spark):
