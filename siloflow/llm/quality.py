@@ -5,6 +5,7 @@ learned by sequential covering: from a bounded, seeded sample of labelled rows,
 at quantiles, rows are counted by the bins they fall into, and a rule (a conjunction of threshold
 conditions that speaks for low quality) is grown on two thirds and pruned on the other third; rows it
 covers are set aside and the next rule is sought. The list becomes one ordered CASE expression.
+Windows of words are told apart by 64-bit hashes of their words, so two windows of one text count as one with a chance of 2**-64 for each pair.
 
 Edge cases: null text has no words and fails the base rule. Without labelled rows, or with one class
 only, the list is empty and everything that passes the base rule is kept. Labels that are null or
@@ -73,6 +74,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words",
         F.aggregate(F.transform("_p", lambda v, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", k + 1) - v, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x),
     ).drop("_p")
+    # a partition's number, which is never below 0, keeps later filters above: pushed below, they would copy the staged columns into each other over and over
+    step4 = step4.withColumn("n_words", F.when(F.spark_partition_id() >= 0, F.col("n_words")))
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return step4.withColumns(
         {

@@ -102,3 +102,11 @@ def test_foreign_columns_are_kept(docs, bench):
         assert left.columns == odd.columns and {r["lang_pred"] for r in left.collect()} == {"y"}
     assert {r["lang_pred"] for r in corpus_pipeline.language_id(odd.sparkSession, odd, "").collect()} == {"y"}
     assert pii.redact(odd).columns == odd.columns
+
+
+def test_columns_of_the_results_names_are_replaced(spark):
+    odd = spark.createDataFrame([(1, "token = abcdefgh1", "x", "y", "z", 5)], "doc_id long, text string, lang_pred string, lang_score string, spans string, n_chars int")
+    assert secretscan.scan(odd).first()["spans"].startswith("assign:") and secretscan.redact(odd).columns == odd.columns
+    assert langid.identify(odd, langid.fit(odd.withColumn("lang", odd["lang_pred"]))).first()["lang_pred"] == "x"
+    got = htmltext.extract(odd, "text").first()
+    assert got["text"] == "token = abcdefgh1" and got["n_chars"] == 17 and got["spans"] == "z"
