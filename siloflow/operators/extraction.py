@@ -258,7 +258,9 @@ def extract(notes: DataFrame, text: str = "note_text", into: str = "extracted_cl
     out = out.withColumn("_g", F.struct(*(has(F.col("_n"), p).alias(k) for k, p in signs.items()), has(F.col("_n"), r"\d").alias("n")))
     seen = lambda k: F.col("_g")[k]
     none = F.array().cast("array<string>")
-    out = out.withColumn("_c", F.when(seen("d") | seen("m") | seen("s") | seen("a"), clauses(F.col("_n"))).otherwise(none))
+    # a partition's number, which is never below 0, keeps later filters above: pushed below, they would copy the staged columns
+    signed = (seen("d") | seen("m") | seen("s") | seen("a")) & (F.spark_partition_id() >= 0)
+    out = out.withColumn("_c", F.when(signed, clauses(F.col("_n"))).otherwise(none))
     n, c = F.col("_n"), F.col("_c")
     listed = (F.when(seen("d"), diagnoses(n, c)).otherwise(none), F.when(seen("m"), medications(c)).otherwise(none))
     measured = [F.when(seen("n"), f(n)) for f in (heart_rate, systolic, creatinine, hemoglobin, ejection_fraction)]

@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(cores=int(os.environ.get("TEST_CPUS", "8")), memory="8g", shuffle_partitions=4)
+    s = local_session(cores=int(os.environ.get("TEST_CPUS", "8")), memory="6g", shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     return s
 
