@@ -46,21 +46,27 @@ def _licenses() -> str:
     rows = []
     for t, (label, phrase) in enumerate([*licenses.BASE, *licenses.STATEMENTS]):
         said = phrase.split()
+        k = licenses.K if len(said) >= licenses.LONG else licenses.PAIR
         base = "true" if t < len(licenses.BASE) else "false"
-        rows += [f"({t}, '{label}', {j}, {len(said) - 1}, {base}, '{said[j]}', '{said[j + 1]}')" for j in range(len(said) - 1)]
+        run = lambda j: ", ".join([*(f"'{w}'" for w in said[j : j + k]), *["NULL"] * (licenses.K - k)])  # noqa: B023, E731
+        rows += [f"({t}, '{label}', {j}, {k}, {len(said) - k + 1}, {base}, {run(j)})" for j in range(len(said) - k + 1)]
+    names = ", ".join(f"w{i}" for i in range(licenses.K))
+    met = lambda k: f"SELECT r, t, label, k, pairs, base, i, j, i - j AS d FROM g JOIN (SELECT * FROM k WHERE k = {k}) q USING ({', '.join(f'w{i}' for i in range(k))})"
+    least = f"CASE WHEN k = {licenses.K} THEN {licenses.MIN_COVER[licenses.K]} ELSE {licenses.MIN_COVER[licenses.PAIR]} END"
     return f"""
-WITH k AS (SELECT * FROM (VALUES {", ".join(rows)}) v(t, label, j, pairs, base, w0, w1)),
+WITH k AS (SELECT * FROM (VALUES {", ".join(rows)}) v(t, label, j, k, pairs, base, {names})),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text", licenses.SEPARATOR)} AS w FROM documents),
-g AS (SELECT r, i, w[i + 1] AS w0, w[i + 2] AS w1 FROM (SELECT r, w, unnest(range(0, len(w) - 1)) AS i FROM d) t),
-v AS (SELECT r, t, label, pairs, base, i - j AS d, count(*) AS votes, min(i) AS lo, max(i) AS hi FROM g JOIN k USING (w0, w1) GROUP BY 1, 2, 3, 4, 5, 6),
+g AS (SELECT r, i, {", ".join(f"w[i + {i + 1}] AS w{i}" for i in range(licenses.K))} FROM (SELECT r, w, unnest(range(0, len(w) - 1)) AS i FROM d) t),
+e AS ({met(licenses.PAIR)} UNION ALL {met(licenses.K)}),
+v AS (SELECT r, t, base AND count(*) = pairs AS whole, d FROM e GROUP BY r, t, base, pairs, d),
 n AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, t ORDER BY d) <= {licenses.MAX_SHIFT} THEN 0 ELSE 1 END AS fresh FROM v),
 u AS (SELECT *, sum(fresh) OVER (PARTITION BY r, t ORDER BY d) AS run FROM n),
-m AS (SELECT r, t, label, pairs, base, run, sum(votes) AS votes, min(lo) AS lo, max(hi) AS hi, count(*) FILTER (base AND votes = pairs) AS places,
-             min(d) FILTER (base AND votes = pairs) AS first_place, max(d) FILTER (base AND votes = pairs) AS last_place FROM u GROUP BY 1, 2, 3, 4, 5, 6),
-c AS (SELECT *, CASE WHEN base THEN CASE WHEN places > 0 THEN 1.0::DOUBLE ELSE 0 END
-                     WHEN least(1.0::DOUBLE, votes::DOUBLE / pairs) >= {licenses.MIN_COVER} AND hi - lo + {licenses.K} <= {licenses.STRETCH} * (pairs + 1) + {licenses.MAX_SHIFT}
-                     THEN least(1.0::DOUBLE, votes::DOUBLE / pairs) ELSE 0 END AS cover FROM m),
-f AS (SELECT *, cover > 0 AND cover = max(cover) OVER (PARTITION BY r, base, split_part(label, '-', 1)) AS verified FROM c),
+h AS (SELECT e.*, run, whole, j > coalesce(max(j) OVER (PARTITION BY e.r, e.t, run ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS onward FROM e JOIN u ON e.r = u.r AND e.t = u.t AND e.d = u.d),
+m AS (SELECT r, t, label, k, pairs, base, run, count(*) FILTER (onward) AS held, min(i) AS lo, max(i) AS hi, count(DISTINCT d) FILTER (whole) AS places,
+             min(d) FILTER (whole) AS first_place, max(d) FILTER (whole) AS last_place FROM h GROUP BY 1, 2, 3, 4, 5, 6, 7),
+c AS (SELECT *, split_part(label, '-', 1) AS family, CASE WHEN base THEN CASE WHEN places > 0 THEN 1.0::DOUBLE ELSE 0 END
+                     WHEN held::DOUBLE / pairs >= {least} AND hi - lo + k <= {licenses.STRETCH} * (pairs + k - 1) + {licenses.MAX_SHIFT} THEN held::DOUBLE / pairs ELSE 0 END AS cover FROM m),
+f AS (SELECT *, cover > 0 AND NOT EXISTS (SELECT 1 FROM c x WHERE NOT x.base AND NOT c.base AND x.r = c.r AND x.family = c.family AND x.cover > c.cover AND x.lo <= c.hi AND x.hi >= c.lo) AS verified FROM c),
 o AS (SELECT r, sum(places) AS n_base, min(first_place) AS first_word, max(last_place) AS last_word, list_sort(list(DISTINCT label) FILTER (base AND verified)) AS bl,
              list_sort(list(DISTINCT label) FILTER (verified)) AS l, max(cover) AS score FROM f GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
