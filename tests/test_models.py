@@ -123,9 +123,10 @@ def test_experiments(spark):
     assert best == 0.01 and losses[0.01] < losses[50.0]
     assert set(federated.personalise(df, names, "y", "site", "id", cfg)) == {"S0", "S1", "S2"}
     study = federated.private_study(df, names, "y", "site", "id", cfg, targets=(1.0, 8.0))
-    assert study[0]["sigma"] > study[1]["sigma"] and all(r["epsilon_exact"] <= r["epsilon_rdp"] for r in study)
+    assert study[0]["sigma"] > study[1]["sigma"] and all(r["epsilon_exact"] <= r["epsilon_rdp"] for r in study[:2]) and study[2]["epsilon"] is None and study[2]["auc"] > 0.5
     assert len(federated.seed_stability(df, names, "y", "site", "id", cfg, range(2))["distance"]) == 2
-    assert len(federated.convergence(df, names, "y", "site", "id", cfg, (1,))) == 2
+    told = federated.convergence(df, names, "y", "site", "id", cfg, (1,))
+    assert len(told) == 2 and all(len(c["gaps"]) == cfg.rounds and (c["first_near"] is None or c["gaps"][c["first_near"] - 1] < 1e-3) for c in told)
     assert {r["site"] for r in federated.holdout(df, df, names, "y", "site", "id", cfg, range(1)).collect()} == {"S0", "S1", "S2", "overall"}
     assert federated.secure_benchmark(df, names, "y", "site", "id", cfg)["max_abs_difference"] < 1e-6
 
