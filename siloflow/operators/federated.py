@@ -4,14 +4,14 @@ An experiment is a cell; all cells advance one round in one Spark job, keyed by
 leaves a site is an aggregate: weighted parameters, loss sums, moments. Mini-batch descent depends on order, each step on the one before, so
 a site's rows pass through one task as a sorted stream of Arrow batches: an epoch's order is that of a hash of
 the row, the epoch and the seed, sorting spills to disk, and no more than a batch is in memory, however large the site is. The steps are the same at every size. Full-batch
-steps, objectives, clipped sums and the Newton optimum are plain aggregates.
+steps (with noise, or with a batch that no site fills, an epoch is one), objectives, clipped sums and the Newton optimum are plain aggregates: no order, no sorting, all tasks at once.
 """
 
 from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -54,9 +54,9 @@ class Config:
 # ---- the model as column expressions
 
 
-def logit(names: list[str], theta: Iterable[float]) -> Column:
-    theta = [float(t) for t in theta]
-    return sum((F.col(n) * F.lit(t) for n, t in zip(names, theta, strict=False)), F.lit(theta[-1]))
+def logit(names: list[str], theta: Iterable[float | Column]) -> Column:
+    theta = [t if isinstance(t, Column) else F.lit(float(t)) for t in theta]
+    return sum((F.col(n) * t for n, t in zip(names, theta, strict=False)), theta[-1])
 
 
 def predicted(z: Column) -> Column:
@@ -68,8 +68,8 @@ def loss(z: Column, y: Column) -> Column:
     return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
 
 
-def gradient_sums(rows: DataFrame, names: list[str], y: str, theta: list[float], *by: str, clip: float | None = None) -> DataFrame:
-    """(by, n, g_0 ... g_d): sums of the rows' gradients, each first clipped to a norm if that is given; the last is the bias."""
+def gradient_sums(rows: DataFrame, names: list[str], y: str, theta: list[float] | list[Column], *by: str, clip: float | Column | None = None) -> DataFrame:
+    """(by, n, g_0 ... g_d): sums of the rows' gradients, each first clipped to a norm if that is given (and not null); the last is the bias."""
     r = predicted(logit(names, theta)) - F.col(y).cast("double")
     rows = rows.withColumn("_r", r)
     parts = [F.col("_r") * F.col(n) for n in names] + [F.col("_r")]
@@ -140,6 +140,13 @@ class Descent:
         if self.n:
             self._step()
 
+    def resume(self, theta: np.ndarray, total: np.ndarray, n: int, epoch: int) -> None:
+        """The one step of an epoch, from the parameters it begins with and the summed gradients of its rows; the noise of earlier epochs is drawn and left."""
+        if self.noise:
+            self.rng.normal(size=(epoch - 1, len(theta)))
+        self.theta, self.total, self.n = theta.copy(), total, n
+        self._step()
+
     def _step(self) -> None:
         if self.noise:
             self.total += self.rng.normal(0.0, self.noise.multiplier * self.noise.clip, len(self.theta))
@@ -173,23 +180,91 @@ class Cell:
     history: list[dict] = field(default_factory=list)
 
 
-def one_round(rows: DataFrame, names: list[str], y: str, site: str, cells: list[Cell], round_id: int, n_sites: int, own: bool = False) -> pd.DataFrame:
+def site_sizes(rows: DataFrame, site: str, cells: list[Cell]) -> dict[tuple[str, str], int]:
+    """{(cell, site): number of rows that the cell trains on}, for every site."""
+    counts = [F.count_if(F.col(c.train) if c.train else F.lit(True)).alias(f"n_{i}") for i, c in enumerate(cells)]
+    told = rows.groupBy(F.col(site).cast("string").alias("site")).agg(*counts).collect()  # a row for each site
+    return {(c.name, r["site"]): r[f"n_{i}"] for i, c in enumerate(cells) for r in told}
+
+
+def in_one_step(cell: Cell, sizes: dict[tuple[str, str], int]) -> bool:
+    """Whether an epoch is a single step over all rows, at every site."""
+    return cell.noise is not None or all(n <= cell.config.batch for (c, _), n in sizes.items() if c == cell.name)
+
+
+def hold(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells: list[Cell], sizes: dict[tuple[str, str], int]) -> DataFrame:
+    """The rows persisted, with the columns that training needs; _row names them where their order counts."""
+    columns = list(dict.fromkeys([site, y, *names, *(c.train for c in cells if c.train)]))
+    ordered = not all(in_one_step(c, sizes) for c in cells)
+    return rows.select(*columns, *([F.col(row_id).alias("_row")] if ordered else [])).persist()
+
+
+def one_round(rows: DataFrame, names: list[str], y: str, site: str, cells: list[Cell], round_id: int, sizes: dict[tuple[str, str], int], own: bool = False) -> pd.DataFrame:
     """Train every cell on every site for its epochs: a row (cell, site, n, theta) each.
 
     ``own`` continues each site's own parameters instead of the common ones. Order and noise follow from the seed, the
     site, the round and the epoch, which keeps a lost task's second run the same as its first.
     """
+    whole = [c for c in cells if in_one_step(c, sizes)]
+    rest = [c for c in cells if not in_one_step(c, sizes)]
+    told = [way(rows, names, y, site, part, round_id, sizes, own) for way, part in ((_summed, whole), (_streamed, rest)) if part]
+    return pd.concat(told).sort_values(["cell", "site"]).reset_index(drop=True)  # a row for each cell and site
+
+
+def _asked(rows: DataFrame, names: list[str], y: str, site: str, cells: list[Cell], *more: str) -> DataFrame:
+    """(cell, seed, epochs, site, more, names, _y): each row once for every cell that trains on it."""
     asked = [F.when(F.col(c.train) if c.train else F.lit(True), F.struct(F.lit(c.name).alias("cell"), F.lit(c.config.seed).alias("seed"), F.lit(c.config.epochs).alias("epochs"))) for c in cells]
     told = rows.withColumn("_c", F.explode(F.filter(F.array(*asked), lambda v: v.isNotNull())))
-    told = told.select("_c.cell", F.col(site).cast("string").alias("site"), F.explode(F.sequence(F.lit(1), F.col("_c.epochs"))).alias("epoch"), "_c.seed", "_row", *names, F.col(y).cast("double").alias("_y"))
-    place = F.xxhash64("seed", F.lit(round_id), "epoch", "_row")
-    dealt = told.withColumn("place", place).repartition(max(1, len(cells) * n_sites), "cell", "site").sortWithinPartitions("cell", "site", "epoch", "place", "_row")
-    by_name, d = {c.name: (c.config, c.noise, c.theta) for c in cells}, len(names)
+    return told.select("_c.*", F.col(site).cast("string").alias("site"), *more, *names, F.col(y).cast("double").alias("_y"))
+
+
+def _start(cells: list[Cell], d: int, round_id: int, own: bool) -> Callable[[str, str], Descent]:
+    """What makes the descent of a cell at a site, at the begin of a round."""
+    by_name = {c.name: (c.config, c.noise, c.theta) for c in cells}
 
     def begun(cell: str, at: str) -> Descent:
         cfg, noise, theta = by_name[cell]
         return Descent(theta.get(at if own else "", start_theta(cfg.seed, d)), cfg, np.random.default_rng([cfg.seed, hash_site(at), round_id]), noise)
 
+    return begun
+
+
+def _summed(rows: DataFrame, names: list[str], y: str, site: str, cells: list[Cell], round_id: int, sizes: dict[tuple[str, str], int], own: bool) -> pd.DataFrame:
+    """Epochs of one step each: gradients summed by cell and site, in as many tasks as there are, then the step where the sums are."""
+    d, begun = len(names), _start(cells, len(names), round_id, own)
+    at = {(c.name, s): begun(c.name, s).theta for c in cells for (k, s), n in sizes.items() if k == c.name and n}
+    clips = {c.name: c.noise.clip if c.noise else None for c in cells}
+    counted: dict[tuple[str, str], float] = {}
+    for epoch in range(1, max(c.config.epochs for c in cells) + 1):
+        live = [c for c in cells if epoch <= c.config.epochs]
+        here = {k: t for k, t in at.items() if k[0] in {c.name for c in live}}
+        now = rows.sparkSession.createDataFrame([(c, s, clips[c], *map(float, t)) for (c, s), t in here.items()], "_cell string, _site string, _clip double, " + ", ".join(f"_t_{i} double" for i in range(d + 1)))
+        asked = _asked(rows, names, y, site, live)
+        asked = asked.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in (*names, "_y")})  # a sum would pass over nulls
+        met = asked.join(F.broadcast(now), (F.col("cell") == F.col("_cell")) & F.col("site").eqNullSafe(F.col("_site")))
+        sums = gradient_sums(met, names, "_y", [F.col(f"_t_{i}") for i in range(d + 1)], "cell", "site", clip=F.col("_clip"))
+
+        def step(pieces: Iterator[pd.DataFrame], here: dict = here, epoch: int = epoch) -> Iterator[pd.DataFrame]:
+            for pdf in pieces:
+                for r in pdf.itertuples(index=False):
+                    run = begun(r.cell, r.site)
+                    run.resume(here[r.cell, r.site], np.array([getattr(r, f"g_{i}") for i in range(d + 1)]), int(r.n), epoch)
+                    yield pd.DataFrame({"cell": [r.cell], "site": [r.site], "n": [r.n], "theta": [run.theta.tolist()]})
+
+        for r in sums.mapInPandas(step, "cell string, site string, n double, theta array<double>").collect():  # a row for each cell and site
+            at[r["cell"], r["site"]] = np.asarray(r["theta"])
+            counted[r["cell"], r["site"]] = r["n"]
+    return pd.DataFrame([(c, s, counted[c, s], at[c, s].tolist()) for c, s in counted], columns=["cell", "site", "n", "theta"])
+
+
+def _streamed(rows: DataFrame, names: list[str], y: str, site: str, cells: list[Cell], round_id: int, sizes: dict[tuple[str, str], int], own: bool) -> pd.DataFrame:
+    """Epochs of many steps, each from the one before: a site's rows pass through one task in order."""
+    told = _asked(rows, names, y, site, cells, "_row").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
+    place = F.xxhash64("seed", F.lit(round_id), "epoch", "_row")
+    n_sites = len({s for _, s in sizes})
+    dealt = told.withColumn("place", place).repartition(max(1, len(cells) * n_sites), "cell", "site").sortWithinPartitions("cell", "site", "epoch", "place", "_row")
+    begun = _start(cells, len(names), round_id, own)
+
     def train(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, run, n, epoch = None, None, 0, 0
 
@@ -211,8 +286,7 @@ def one_round(rows: DataFrame, names: list[str], y: str, site: str, cells: list[
         if run:
             yield result()
 
-    trained = dealt.select("cell", "site", "epoch", *names, "_y").mapInPandas(train, "cell string, site string, n double, theta array<double>")
-    return trained.toPandas().sort_values(["cell", "site"]).reset_index(drop=True)  # a row for each cell and site
+    return dealt.select("cell", "site", "epoch", *names, "_y").mapInPandas(train, "cell string, site string, n double, theta array<double>").toPandas()
 
 
 def hash_site(site: str) -> int:
@@ -233,9 +307,10 @@ def average(told: pd.DataFrame, weighting: str, secure: Aggregator | None = None
 
 def fit(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells: list[Cell], secure: bool = False, lost: dict[int, frozenset[str]] | None = None) -> list[Cell]:
     """Federated averaging of all cells together; rows are standardised. In both modes a lost site leaves the cohort for good."""
-    held = rows.withColumn("_row", F.col(row_id)).persist()
+    sizes = site_sizes(rows, site, cells)
+    held = hold(rows, names, y, site, row_id, cells, sizes)
     try:
-        sites = sorted(str(r[0]) for r in held.select(F.col(site).cast("string")).distinct().collect())
+        sites = sorted({str(s) for _, s in sizes})
         numbers = {s: i for i, s in enumerate(sites)}
         safe = {c.name: Aggregator({i: Site(i, 2) for i in numbers.values()}) for c in cells} if secure else {}
         gone: set[str] = set()
@@ -243,7 +318,7 @@ def fit(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells
             c.theta = {"": start_theta(c.config.seed, len(names))}
         for t in range(1, max(c.config.rounds for c in cells) + 1):
             live = [c for c in cells if t <= c.config.rounds]
-            told = one_round(held.where(~F.col(site).isin(*gone)) if gone else held, names, y, site, live, t, len(sites))
+            told = one_round(held.where(~F.col(site).isin(*gone)) if gone else held, names, y, site, live, t, sizes)
             now = (lost or {}).get(t, frozenset())
             for c in live:
                 new = average(told[told["cell"] == c.name], c.config.weighting, safe.get(c.name), numbers, now)
@@ -257,13 +332,13 @@ def fit(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells
 
 def fit_local(rows: DataFrame, names: list[str], y: str, site: str, row_id: str, cells: list[Cell], rounds: int = 1, begin: dict[str, np.ndarray] | None = None) -> list[Cell]:
     """Each site by itself, for rounds times epochs; ``begin`` starts from given parameters (personalisation)."""
-    held = rows.withColumn("_row", F.col(row_id)).persist()
+    sizes = site_sizes(rows, site, cells)
+    held = hold(rows, names, y, site, row_id, cells, sizes)
     try:
-        n_sites = held.select(site).distinct().count()
         for c in cells:
             c.theta = dict(begin) if begin else {}
         for t in range(1, rounds + 1):
-            told = one_round(held, names, y, site, cells, t, n_sites, own=True)
+            told = one_round(held, names, y, site, cells, t, sizes, own=True)
             for c in cells:
                 c.theta = {s: np.asarray(th) for s, th in told[told["cell"] == c.name][["site", "theta"]].itertuples(index=False)}
     finally:

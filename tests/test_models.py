@@ -106,6 +106,33 @@ def test_a_site_streams_through_in_pieces(spark):
     assert all(p.theta[""] == pytest.approx(w.theta[""]) for p, w in zip(pieces, whole, strict=True))
 
 
+def test_whole_batches_and_noise_are_sums(spark, monkeypatch):
+    """Where an epoch is one step, rows are summed by Spark: Python gets a row for each cell and site at most, and the steps are those of a plain loop."""
+    df, names, x, y = rows(spark)
+    cfg = federated.Config(rounds=2, epochs=2, batch=100, prox=0.1)  # as many as the sites have
+    seen, plain = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **b: (seen.append(self.count()), plain(self, *a, **b))[1])
+    noise = accounting.Noise(1.5, 0.5)
+    flagged = df.withColumn("_half", F.col("id") < 150)
+    anew = lambda: [federated.Cell("full", cfg), federated.Cell("noisy", federated.replace(cfg, batch=7), noise=noise), federated.Cell("half", federated.replace(cfg, epochs=1, seed=3), "_half")]
+    got = {c.name: c.theta for c in federated.fit_local(flagged, names, "y", "site", "id", anew(), rounds=2)}
+    assert seen and max(seen) <= 9
+    for c in anew():
+        for s in range(3):
+            mine = [i for i in range(s, 150 if c.train else 300, 3)]
+            theta = federated.start_theta(c.config.seed, 3)
+            for t in (1, 2):
+                run = federated.Descent(theta, c.config, np.random.default_rng([c.config.seed, federated.hash_site(f"S{s}"), t]), c.noise)
+                for _ in range(c.config.epochs):
+                    run.feed(x[mine], y[mine].astype(float))
+                    run.end_epoch()
+                theta = run.theta
+            assert got[c.name][f"S{s}"] == pytest.approx(theta), (c.name, s)
+    mixed = [federated.Cell("full", cfg), federated.Cell("small", federated.replace(cfg, batch=16))]
+    alone = [federated.fit(df, names, "y", "site", "id", [federated.Cell(c.name, c.config)])[0].theta[""] for c in mixed]
+    assert [c.theta[""] for c in federated.fit(df, names, "y", "site", "id", mixed)] == [pytest.approx(t) for t in alone]
+
+
 def test_folds_deal_every_site_and_label(spark):
     df, *_ = rows(spark, n=97)
     dealt = federated.folds(df, "site", "y", "id", 5, 1).collect()
