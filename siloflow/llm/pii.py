@@ -5,15 +5,15 @@ written numbers, and addresses spelled with words for their signs. Each candidat
 offsets and small whole-number features of its format and context. Boosted trees of depth two are
 fitted on counted feature rows and become a sum of conditional expressions.
 
-No label is a feature. The labels come from the table itself, from a bounded sample of its documents: candidates of
+No label is a feature. The labels come from the table itself, from all of its documents: candidates of
 the base kinds are positive where the contract's rule (check sum, ranges, digits) holds; for loose numbers and spelled addresses, valid phone numbers and mail
 addresses are written anew in these forms, where they stand, as positives, and the table's own candidates of these
 kinds, outside of valid spans, count as negatives. Examples made by rule from cue words and formats, half of which are no personal data, come
-beside them. Thresholds are calibrated for each kind by cross-fitting: every row is judged by trees that were fitted without its document
+beside them; the counts of a large table are scaled down as a whole, so that it does not drown them. Thresholds are calibrated for each kind by cross-fitting: every row is judged by trees that were fitted without its document
 (or, for examples, without its half). Spans
 that pass the contract's rules are always kept, what the rules refuse is not added again; the trees add spans of the other kinds beside them.
 
-Matching is done in the scan stage. Only candidates are shuffled, never texts. Patterns use
+Matching is done in the scan stage, once: the candidates it finds are written, learned from and judged. Only candidates are shuffled, never texts. Patterns use
 possessive runs, so their time is linear in the text.
 
 Edge cases: null text counts as empty and has no span. Rows are told apart by a number given in the scan
@@ -56,8 +56,8 @@ GUARDS = {
 }
 BEFORE, AFTER = 32, 4
 
-#: Expected number of documents whose candidates are counted for fitting and calibration.
-MAX_TRAIN_DOCS = 5_000
+#: Candidates of all documents are counted for fitting and calibration; the counts of a larger table are scaled to weigh as much as so many documents.
+TABLE_WEIGHT = 5_000
 ROUNDS, RATE, DEPTH_LAMBDA = 32, 0.4, 1.0
 #: An example counts as so many candidates, and a written-anew span as one; of the weights of each kind's two labels the lesser one is not raised.
 EXAMPLE_WEIGHT = 5
@@ -304,31 +304,44 @@ def written_anew(found: DataFrame) -> DataFrame:
 
 
 @tidy
-def labelled(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, seed: int = 1) -> DataFrame:
-    """(part, features, pos, neg): counts of candidates by features; part 1 or 2 by document."""
-    shown = examples(docs.sparkSession)
+def labelled(found: DataFrame, seed: int = 1) -> DataFrame:
+    """(shown, part, features, pos, neg): counts of all candidates by features, and (shown 1) of the examples; part 1 or 2 by document."""
+    shown = examples(found.sparkSession)
     told = with_features(candidates(shown.select("_row", "doc_id", "_text"), marker=False)).where(F.col("kind") >= len(BASE)).join(shown.select("_row", "part", "y"), "_row")
-    rows = told.select("part", *FEATURES, (F.col("y") * EXAMPLE_WEIGHT).alias("pos"), ((1 - F.col("y")) * EXAMPLE_WEIGHT).alias("neg"))
-    rate = int(min(1.0, max_docs / max(docs.count(), 1)) * 1_000_000) + 1
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < rate)
+    rows = told.select(F.lit(1).alias("shown"), "part", *FEATURES, (F.col("y") * EXAMPLE_WEIGHT).alias("pos"), ((1 - F.col("y")) * EXAMPLE_WEIGHT).alias("neg"))
     part = (1 + F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2))).cast("int")
-    seen = cut(unmet(with_features(candidates(cut(named(drawn)), marker=False))).withColumn("part", part))
-    rows = rows.unionByName(seen.where(F.col("kind") < len(BASE)).select("part", *FEATURES, F.col("ok").cast("int").alias("pos"), (~F.col("ok")).cast("int").alias("neg")))
-    rows = rows.unionByName(seen.where((F.col("kind") >= len(BASE)) & F.col("_free")).select("part", *FEATURES, F.lit(0).alias("pos"), F.lit(1).alias("neg")))
+    seen = found.where("kind >= 0").withColumns({"part": part, "shown": F.lit(0)})
+    rows = rows.unionByName(seen.where(F.col("kind") < len(BASE)).select("shown", "part", *FEATURES, F.col("ok").cast("int").alias("pos"), (~F.col("ok")).cast("int").alias("neg")))
+    rows = rows.unionByName(seen.where((F.col("kind") >= len(BASE)) & F.col("_free")).select("shown", "part", *FEATURES, F.lit(0).alias("pos"), F.lit(1).alias("neg")))
     anew = cut(written_anew(seen))
     met = with_features(candidates(anew.select("_row", "doc_id", "_text"), marker=False)).join(anew.select("_row", "part", "at"), "_row")
     met = met.where((F.col("kind") >= len(BASE)) & F.col("start").between(F.col("at") - 1, F.col("at") + 1))
-    rows = rows.unionByName(met.select("part", *FEATURES, F.lit(1).alias("pos"), F.lit(0).alias("neg")))
-    return cut(rows.groupBy("part", *FEATURES).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    rows = rows.unionByName(met.select(F.lit(0).alias("shown"), "part", *FEATURES, F.lit(1).alias("pos"), F.lit(0).alias("neg")))
+    return cut(rows.groupBy("shown", "part", *FEATURES).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, seed: int = 1) -> Model:
+def learned(told: DataFrame, n_docs: int) -> Model:
     """Trees and thresholds; only counts of feature rows, whose number the features bound, come to the driver."""
-    rows = [r.asDict() for r in labelled(docs, max_docs, seed).orderBy("part", *FEATURES).collect()]
+    share = min(1.0, TABLE_WEIGHT / max(n_docs, 1))
+    counts: dict[tuple, list[float]] = {}
+    for r in told.orderBy("part", *FEATURES, "shown").collect():
+        both = counts.setdefault((r["part"], *(r[f] for f in FEATURES)), [0.0, 0.0])
+        for i, n in enumerate((r["pos"], r["neg"])):
+            both[i] += n * (1.0 if r["shown"] else share)
+    rows = [dict(zip(("part", *FEATURES, "pos", "neg"), (*k, *n), strict=True)) for k, n in counts.items()]
     without = {part: boost([r for r in rows if r["part"] != part]) for part in (1, 2)}
     return Model(boost(rows), calibrate([r | {"margin": sum(t(r) for t in without[r["part"]])} for r in rows]))
 
 
+@tidy
+def _labelled(docs: DataFrame, seed: int) -> DataFrame:
+    return labelled(cut(gathered(named(docs))), seed)
+
+
+def fit(docs: DataFrame, seed: int = 1) -> Model:
+    return learned(_labelled(docs, seed), docs.count())
+
+
 # ---- results
 
 
@@ -340,13 +353,19 @@ def unmet(found: DataFrame) -> DataFrame:
     return found.withColumn("_free", (F.coalesce(above, F.lit(0)) <= F.col("start")) & (F.coalesce(below, F.col("end")) >= F.col("end")))
 
 
-def spans(rows: DataFrame, model: Model) -> DataFrame:
+def gathered(rows: DataFrame) -> DataFrame:
+    """All candidates with their features, whether the contract's rule holds and whether a valid span overlaps; kind -1 marks each row."""
+    return unmet(with_features(candidates(rows)))
+
+
+def judged(found: DataFrame, model: Model) -> DataFrame:
     """(_row, doc_id, kind, base, start, end): base spans, and those of the trees that overlap none; kind -1 marks each row."""
-    found = with_features(candidates(rows))
-    found = found.withColumn("chosen", F.col("kind").between(0, len(KINDS) - 1) & ~F.col("ok") & model.selected())
-    found = found.where((F.col("kind") < 0) | F.col("ok") | F.col("chosen"))
-    found = unmet(found).where((F.col("kind") < 0) | F.col("ok") | F.col("_free"))
-    return found.select("_row", "doc_id", "kind", F.col("ok").alias("base"), "start", "end")
+    chosen = F.col("kind").between(0, len(KINDS) - 1) & F.col("_free") & model.selected()
+    return found.where((F.col("kind") < 0) | F.col("ok") | chosen).select("_row", "doc_id", "kind", F.col("ok").alias("base"), "start", "end")
+
+
+def spans(rows: DataFrame, model: Model) -> DataFrame:
+    return judged(gathered(rows), model)
 
 
 def _name() -> Column:
@@ -358,7 +377,8 @@ def _name() -> Column:
 
 def op6(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; a row for each input row."""
-    found = spans(named(docs), fit(docs))
+    seen = cut(gathered(named(docs)))
+    found = judged(seen, learned(labelled(seen), seen.where("kind < 0").count()))
     order = F.when(F.col("base"), F.col("kind")).otherwise(F.col("kind") + len(KINDS))
     entry = F.struct(order.alias("k"), "start", "end", F.concat_ws(":", _name(), "start", "end").alias("s"))
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, entry))), lambda x: x["s"]), ",")

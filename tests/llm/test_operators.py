@@ -398,6 +398,18 @@ def test_trees_find_held_out_forms(spark):
     assert right >= 90 and wrong <= 2
 
 
+def test_trees_learn_from_all_documents(spark, monkeypatch):
+    """Each of 6000 documents counts, with a weight of 5000 in all; so does the one with an address that a sample by hash would leave out."""
+    ids = spark.range(6000).where("pmod(xxhash64(1, id), 1000000) > 900000")
+    rare = ids.first()[0]
+    docs = spark.range(6000).selectExpr("id AS doc_id", f"CASE id WHEN {rare} THEN 'host 10.1.2.3 is up' ELSE concat('mail ann', id, '@host.org now') END AS text")
+    fitted, plain = [], pii.boost
+    monkeypatch.setattr(pii, "boost", lambda told: (fitted.append(told), plain(told))[1])
+    pii.fit(docs)
+    weight = lambda kind: sum(r["pos"] + r["neg"] for r in fitted[-1] if r["kind"] == pii.KINDS.index(kind))
+    assert weight("ip") == pytest.approx(5000 / 6000) and weight("email") == pytest.approx(5999 * 5000 / 6000)
+
+
 def test_pii_redaction(spark):
     docs = spark.createDataFrame(rows((1, "mail a@b.org or +1 (743) 555-3824!", "en", "a"), (2, None, "en", "a"), (3, "none", "en", "a")), SCHEMA)
     assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE]!", None, "none"]
